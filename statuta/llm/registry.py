@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = [
     "exact_dedup",
     "token_files",
+    "language_id",
 ]
 
 
