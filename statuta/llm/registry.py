@@ -8,6 +8,7 @@ MODULES = [
     "exact_dedup",
     "token_files",
     "language_id",
+    "secret_scan",
 ]
 
 
