@@ -9,6 +9,7 @@ MODULES = [
     "token_files",
     "language_id",
     "secret_scan",
+    "warc",
 ]
 
 
