@@ -10,6 +10,7 @@ MODULES = [
     "language_id",
     "secret_scan",
     "warc",
+    "decontaminate",
 ]
 
 
