@@ -11,6 +11,7 @@ MODULES = [
     "secret_scan",
     "warc",
     "decontaminate",
+    "mixing",
 ]
 
 
