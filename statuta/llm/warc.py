@@ -150,7 +150,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 kinds = {"long": pa.int64(), "string": pa.string()}
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.split()[0]], kinds[x.split()[1]]) for x in READ.split(", ")], names=list(out))
 
-    return manifest.select("path").repartition("path").mapInArrow(task, READ)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or the small rows would be put together in one task
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(task, READ)
 
 
 def warc_output(pages: DataFrame) -> DataFrame:
