@@ -12,6 +12,7 @@ MODULES = [
     "warc",
     "decontaminate",
     "mixing",
+    "line_templates",
 ]
 
 
