@@ -13,6 +13,7 @@ MODULES = [
     "decontaminate",
     "mixing",
     "line_templates",
+    "ngram_join",
 ]
 
 

@@ -7,6 +7,7 @@ cost no recomputation.  `spark.checkpoint.dir` is used when set; without it
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,7 +33,7 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)  # an empty table has no file to take it from
     out.statuta_path = path
     return out
 
@@ -47,3 +48,9 @@ def discard(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
