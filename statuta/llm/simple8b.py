@@ -20,9 +20,14 @@ WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np
 _POWERS = U(1) << np.arange(61, dtype=U)
 
 
+_BITS16 = np.maximum(np.searchsorted(_POWERS, np.arange(1 << 16, dtype=U), side="right"), 1).astype(np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, at least 1."""
-    return np.maximum(np.searchsorted(_POWERS, values, side="right"), 1)
+    if values.max() < len(_BITS16):
+        return _BITS16[values]
+    return np.maximum(np.searchsorted(_POWERS, values, side="right"), 1).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,21 +36,23 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, U)
+    blocks = -(-n // BLOCK)
+    bits = np.zeros((blocks, BLOCK), np.uint8)  # what a block lacks packs into any word
+    bits.reshape(-1)[:n] = _widths(values)
+    widest, chosen = bits.copy(), np.full((blocks, BLOCK), 14, np.uint8)
+    selector = {int(c): (k, int(w)) for k, (c, w) in enumerate(zip(COUNTS, WIDTHS, strict=True)) if 1 <= k < 14}
+    for c in range(2, 61):  # widest: of the next c values of the block
+        np.maximum(widest[:, : BLOCK - c + 1], bits[:, c - 1 :], out=widest[:, : BLOCK - c + 1])
+        if c in selector:
+            k, w = selector[c]
+            fits = widest <= w
+            chosen[fits] = k  # a denser selector replaces a looser one
+            if not fits.any():
+                break  # denser ones need narrower values still
+    choice = chosen.reshape(-1)[:n].astype(np.int64)
     escaped = values >= _POWERS[60]
-    bits = _widths(values)
-    ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    left = ends - np.arange(n)
-    choice = np.full(n, 14, dtype=np.int64)
-    have = np.bincount(np.minimum(bits, 61), minlength=62).cumsum()
-    at = np.arange(n)
-    for sel in range(13, 0, -1):  # a denser selector replaces a looser one
-        c, w = int(COUNTS[sel]), int(WIDTHS[sel])
-        if have[w] < min(c, int(left[-1])) and have[w] < c:
-            continue
-        bad = np.where(bits > w, at, n)
-        nxt = np.minimum.accumulate(bad[::-1])[::-1]
-        choice[np.minimum(nxt, ends) - at >= np.minimum(left, c)] = sel
     choice[escaped] = 0
+    left = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n) - np.arange(n)
     step = np.minimum(COUNTS[choice], left)
     pos = np.arange(0, n, BLOCK)
     stop = np.minimum(pos + BLOCK, n)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ class WordEncoder:
     bounded; when full it is emptied, which changes no result.
     """
 
-    def __init__(self, tokenizer_file: str, max_words: int = 600_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 1_200_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -62,37 +63,46 @@ class WordEncoder:
         self.model = self.whole.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {chr(i): "".join(p for p, _ in level.pre_tokenize_str(chr(i))) for i in range(0x61, 0x100)}
-        self.stops = {s: self._by_library(s) for s in (".", ",")} | {"": ()}
-        self.max_words = max_words
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.stops = {s: self._by_library(s) for s in (".", ",")} | {"": b""}
+        self.known = _Known(self._word, max_words)
+        self.letter_runs = _Known(self._letters, max_words // 2)
 
-    def _by_library(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.whole.encode(piece, add_special_tokens=False).ids)
+    def _by_library(self, piece: str) -> bytes:
+        return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _letters(self, low: str) -> bytes:
+        shown = low if low.isascii() else "".join(map(self.letters.__getitem__, low))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         if m := _PLAIN.fullmatch(word):
-            low = m[1].lower()
-            if not low.isascii():
-                low = "".join(map(self.letters.__getitem__, low))
-            ids = tuple(t.id for t in self.model.tokenize(low)) + self.stops[m[2]]
-        else:
-            ids = self._by_library(word)
-        if len(word) <= 64:
-            if len(self.known) >= self.max_words:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+            return self.letter_runs[m[1].lower()] + self.stops[m[2]]
+        return self._by_library(word) if word else b""
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text, as 32-bit integers."""
         if not text:
-            return out
-        known, extend = self.known, out.extend
-        for word in text.translate(_WHITE).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" "):
-            if word:
-                ids = known.get(word)
-                extend(ids if ids is not None else self._word(word))
-        return out
+            return np.zeros(0, np.uint32)
+        if "\t" in text or "\r" in text:
+            text = text.translate(_WHITE)
+        words = text.replace("\n", " ").split(" ")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
+
+
+class _Known(dict):
+    """Results of a function by its argument, at most so many."""
+
+    def __init__(self, function, most: int):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.function(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -151,7 +161,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, id_col:
         doc_ids: list = []
         counts: list[int] = []
         chunks: list[np.ndarray] = []
-        held = 0
+        held, last = 0, np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held
@@ -167,11 +177,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, id_col:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = enc.encode(text.as_py())
-                ids.append(end_id)
                 doc_ids.append(doc_id)
-                counts.append(len(ids))
-                chunks.append(np.array(ids, np.uint32))
-                held += len(ids)
+                counts.append(len(ids) + 1)
+                chunks += [ids, last]
+                held += len(ids) + 1
                 if held >= segment_ids:
                     yield flush()
         if doc_ids:
@@ -206,7 +215,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(raw[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.int64()),
                 })
 
-    return files.select("path", (F.col("base") + F.col("before")).alias("start")).repartition("path").mapInArrow(task, READ)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, or the small rows would be put together in one task
+    return files.select("path", (F.col("base") + F.col("before")).alias("start")).repartition(tasks, "path").mapInArrow(task, READ)
 
 
 def default_tokenizer() -> str:
