@@ -14,6 +14,7 @@ MODULES = [
     "mixing",
     "line_templates",
     "ngram_join",
+    "suffix_tree_lm",
 ]
 
 
