@@ -2,7 +2,7 @@
 
 A text becomes a sequence of template tokens: words in lower case without outer
 punctuation, numbers as <NUM>, units after a number as <UNIT>, and capitalised
-words inside a sentence as <NAME>.  Windows of WINDOW template tokens of the
+words inside a sentence (but not those all in capitals) as <NAME>.  Windows of WINDOW template tokens of the
 documents are hash-joined with those of the benchmark items (an item shorter
 than that is one window).  Matches are lined up by their distance (position in
 the document less position in the item); in each line the values of the slots
@@ -77,7 +77,9 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = data[start]
     second = data[np.minimum(start + 1, n - 1)]
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    name = capital & ~opens & ~number
+    follows = np.where(first == 0xC3, np.minimum(start + 2, n - 1), np.minimum(start + 1, n - 1))
+    shouted = ((data[follows] >= 65) & (data[follows] <= 90)) | (follows >= end)  # a text in capitals has no names to tell
+    name = capital & ~shouted & ~opens & ~number
     after_number = np.concatenate([[False], number[:-1] & (row[1:] == row[:-1])])
     known = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h
     unit = after_number & known & ~number
