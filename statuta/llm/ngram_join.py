@@ -49,6 +49,8 @@ ORDERS = 2
 CELLS = 1 << 21
 _CHUNK = 1 << 15
 _BITS = 512
+#: Bits of the filter by id: 1 MB packed; beyond a few million ids it passes more rows, never fewer.
+FILTER_BITS = 1 << 23
 #: Similarity as a ratio of integers.
 NUM, DEN = 4, 5
 
@@ -262,24 +264,57 @@ def in_every_order(pairs: DataFrame, others: list[DataFrame]) -> DataFrame:
     return pairs
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id that occurs: FILTER_BITS of them, however many ids there are."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_id_bit(batch.column(0))] = True
+        for c in range(FILTER_BITS // _CHUNK):
+            if (part := bits[c * _CHUNK : (c + 1) * _CHUNK]).any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "bits": [np.packbits(part).tobytes()]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(raw.as_py(), np.uint8)
+                found[chunk] = found[chunk] | got if chunk in found else got
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(found), pa.int32()), "bits": pa.array([x.tobytes() for x in found.values()], pa.binary())})
+
+    out = np.zeros(FILTER_BITS, bool)
+    kind = "chunk int, bits binary"
+    for row in ids.mapInArrow(task, kind).repartition(16, "chunk").mapInArrow(merge, kind).collect():
+        out[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.unpackbits(np.frombuffer(row.bits, np.uint8))
+    return out
+
+
+def _id_bit(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.fill_null(0).to_numpy().view(U)) % U(FILTER_BITS)).astype(np.int64)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, salt: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough; sets are made again from one text each."""
+    """The pairs whose whole sets are similar enough; sets are made again from one text each.
+
+    Texts are not shuffled: the scan passes over rows whose id is surely not
+    wanted, and only sets travel, to be joined by node.
+    """
     spark = docs.sparkSession
-    involved = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    ids = reps.join(involved, "node").select(F.col("rep").alias("rep_id"), "node")
-    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep_id)).select("node", "text")
+    involved = materialise(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "join-involved")
+    wanted = spark.sparkContext.broadcast(id_filter(reps.join(involved, "node").select("rep")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, rows, h, r in slice_sets(batch.column(1)):
+            hit = pa.array(wanted.value[_id_bit(batch.column(0))])
+            for _, rows, h, r in slice_sets(batch.column(1).filter(hit)):
                 n, node, _ = digests(h, r, rows, salt)
                 ends = np.cumsum(n)
-                wanted = batch.column(0).slice(at, rows).to_numpy()
-                same = node == wanted  # an id may have several rows
-                raw = [h[e - m : e].tobytes() for e, m, ok in zip(ends.tolist(), n.tolist(), same, strict=True) if ok]
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[same]), pa.array(raw, pa.binary())], names=["node", "members"])
+                raw = [h[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(raw, pa.binary())], names=["node", "members"])
 
-    members = materialise(texts.mapInArrow(sets, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")), "join-sets")
+    made = docs.mapInArrow(sets, "node long, members binary").join(involved, "node", "left_semi")
+    members = materialise(made.groupBy("node").agg(F.first("members").alias("members")), "join-sets")
     both = pairs.join(members.select(F.col("node").alias("x"), F.col("members").alias("a")), "x").join(members.select(F.col("node").alias("y"), F.col("members").alias("b")), "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +327,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, salt: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     links = materialise(both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long"), "join-links")
-    discard(members)
+    discard(members, involved)
+    wanted.unpersist()
     release(spark)
     return links
 
@@ -313,11 +349,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     features = rows.where("kind = 0").drop("kind", "token")
     others = [rows.where(F.col("kind") == k).select("token", "node") for k in range(2, orders + 1)]
     bucket = materialise(rows.where("kind = 1").select("token", "node").join(features, "node"), "join-prefixes")
+    release(spark)
     leader = bucket.groupBy("token").agg(F.max(F.struct("weight", "n", "node", *_BIT_COLUMNS)).alias("l")).select("token", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("n", "node", *_BIT_COLUMNS)])
     stars = bucket.join(leader, "token").where((F.col("node") != F.col("l_node")) & _may_link("", "l_")).select(F.least("node", "l_node").alias("x"), F.greatest("node", "l_node").alias("y")).distinct()
     candidates = materialise(in_every_order(stars, others), "join-stars")
     links = verified(candidates, docs, reps, salt)
     label = components(links)
+    release(spark)
     placed = bucket.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left, right = _renamed(placed, "a_", "token"), _renamed(placed, "b_", "token")
     apart = left.join(right, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _may_link("a_", "b_"))
