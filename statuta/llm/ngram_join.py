@@ -2,11 +2,13 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes.  Two sets
 whose Jaccard similarity is at least 0.8 share a shingle among the first
-|s| - ceil(0.8 |s|) + 1 of each, under any order of all shingles.  Each order
+|s| - ceil(0.8 |s|) + 1 of each, under any order of all shingles, and the number
+they share there has a lower bound by their sizes (least_shared).  Each order
 here puts rare shingles first (by the counts of a fixed-size sketch of the whole
 corpus, so it is the same function for every document) and ranks equals by a
-hash of its own.  A candidate pair must meet in the prefixes of every order; size
-and bitmap bounds, both exact, drop more, and the rest is verified on whole sets.
+hash of its own.  A candidate pair must share that many tokens in the prefixes of
+every order; size and bitmap bounds, both exact, drop more, and what is left is
+verified on whole sets.
 
 Steps, none of which lists the pairs of a group:
 1. one pass over the texts gives each document the 128-bit digest of its set;
@@ -255,12 +257,25 @@ def _renamed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def least_shared() -> Column:
+    """How many tokens the prefixes of a pair (n, m) that links share, under any order.
+
+    Linked sets have at least a = ceil(4 (n + m) / 9) shingles in common, so of the
+    first p of a set at most n - a are not shared: prefixes of n - a + l and
+    m - a + l tokens share l.
+    """
+    n, m = F.col("n"), F.col("m")
+    common = F.ceil((n + m) * NUM / (NUM + DEN))
+    spare = lambda k: common - F.ceil(k * NUM / DEN) + 1  # noqa: E731  of a prefix of k - ceil(k NUM / DEN) + 1 tokens
+    return F.greatest(F.least(spare(n), spare(m)) - 1, F.lit(1))  # two tokens of a set may meet in 32 bits
+
+
 def in_every_order(pairs: DataFrame, others: list[DataFrame]) -> DataFrame:
-    """The pairs that share a prefix token under each of the other orders, too."""
+    """The pairs (x, y, n, m) that share enough prefix tokens under each of the other orders, too."""
     for bucket in others:
         mine = bucket.select(F.col("node").alias("x"), "token")
         theirs = bucket.select(F.col("node").alias("y"), "token")
-        pairs = pairs.join(mine, "x").join(theirs, ["y", "token"], "left_semi").select("x", "y").distinct()
+        pairs = pairs.join(mine, "x").join(theirs, ["y", "token"]).groupBy("x", "y", "n", "m").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared()).drop("shared")
     return pairs
 
 
@@ -351,16 +366,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bucket = materialise(rows.where("kind = 1").select("token", "node").join(features, "node"), "join-prefixes")
     release(spark)
     leader = bucket.groupBy("token").agg(F.max(F.struct("weight", "n", "node", *_BIT_COLUMNS)).alias("l")).select("token", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("n", "node", *_BIT_COLUMNS)])
-    stars = bucket.join(leader, "token").where((F.col("node") != F.col("l_node")) & _may_link("", "l_")).select(F.least("node", "l_node").alias("x"), F.greatest("node", "l_node").alias("y")).distinct()
-    candidates = materialise(in_every_order(stars, others), "join-stars")
+    first_is_x = F.col("node") < F.col("l_node")
+    stars = bucket.join(leader, "token").where((F.col("node") != F.col("l_node")) & _may_link("", "l_")).select(
+        F.least("node", "l_node").alias("x"), F.greatest("node", "l_node").alias("y"),
+        F.when(first_is_x, F.col("n")).otherwise(F.col("l_n")).alias("n"), F.when(first_is_x, F.col("l_n")).otherwise(F.col("n")).alias("m"),
+    ).distinct()
+    candidates = materialise(in_every_order(stars, others).select("x", "y"), "join-stars")
     links = verified(candidates, docs, reps, salt)
     label = components(links)
     release(spark)
     placed = bucket.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left, right = _renamed(placed, "a_", "token"), _renamed(placed, "b_", "token")
     apart = left.join(right, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _may_link("a_", "b_"))
-    rest = apart.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")).distinct()
-    rest = materialise(in_every_order(rest, others).join(candidates, ["x", "y"], "left_anti"), "join-rest")
+    rest = apart.groupBy(F.col("a_node").alias("x"), F.col("b_node").alias("y"), F.col("a_n").alias("n"), F.col("b_n").alias("m")).agg(F.count("*").alias("shared"))
+    rest = rest.where(F.col("shared") >= least_shared()).drop("shared")
+    rest = materialise(in_every_order(rest, others).select("x", "y").join(candidates, ["x", "y"], "left_anti"), "join-rest")
     more = verified(rest, docs, reps, salt)
     label = components(links.union(more))
     named = reps.select("node", "rep").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
