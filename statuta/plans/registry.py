@@ -297,7 +297,8 @@ _STAR_EDGES = f"st AS ({corpus.STAR_SQL}), se AS (SELECT subject AS src, object
 
 
 def _star(spark, d):
-    return triples.static_graph(corpus.run(spark, d, corpus.STAR_SQL))
+    nodes, edges = triples.static_graph(corpus.run(spark, d, corpus.STAR_SQL))
+    return nodes.persist(), edges.persist()  # read by several joins of one query
 
 
 @query(f"WITH {_STAR_EDGES} SELECT * FROM se")
