@@ -34,6 +34,7 @@ FIXED = 5
 #: Leaves up to this count (it is taken first) are sent to every task; more are joined by a shuffle.
 SMALL = 200_000
 FIELD = "<*>"
+_WHITE = " \t\n\u000b\f\r"
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
@@ -42,9 +43,10 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("doc_key"),
         F.posexplode(F.split("text", "\n", -1)).alias("position", "line"),
     )
+    # blank lines go by their characters: a filter on words would split every line a second time
+    lines = lines.where(F.btrim("line", F.lit(_WHITE)) != "")
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^\s0-9]*[0-9]\S*", FIELD)).otherwise(F.col("line"))
-    words = F.split(F.regexp_replace(masked, r"^\s+|\s+$", ""), r"\s+")
-    split = lines.select("doc_key", "position", words.alias("words")).where(F.col("words")[0] != "")
+    split = lines.select("doc_key", "position", F.split(F.btrim(masked, F.lit(_WHITE)), r"\s+").alias("words"))
     return split.select(
         "doc_key",
         "position",
