@@ -53,6 +53,8 @@ _CHUNK = 1 << 15
 _BITS = 512
 #: Bits of the filter by id: 1 MB packed; beyond a few million ids it passes more rows, never fewer.
 FILTER_BITS = 1 << 23
+#: Rows of an Arrow batch: texts and sets are large, and a worker holds whole batches.
+BATCH_ROWS = 1000
 #: Similarity as a ratio of integers.
 NUM, DEN = 4, 5
 
@@ -98,7 +100,7 @@ def set_pass(docs: DataFrame, salt: int) -> DataFrame:
 
 
 def sketch_levels(first: DataFrame) -> np.ndarray:
-    """How common the shingles of each cell are, in powers of two above the noise."""
+    """How common the shingles of each cell are: 0 within the noise, then in powers of two."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -112,8 +114,9 @@ def sketch_levels(first: DataFrame) -> np.ndarray:
     summed = first.where("chunk is not null").select("chunk", "counts").repartition(CELLS // _CHUNK, "chunk").mapInArrow(task, "chunk int, counts binary")
     for row in summed.collect():  # CELLS numbers in all
         counts[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(row.counts), np.uint64)
-    noise = max(8.0, 2.0 * float(counts.mean()))
-    return np.floor(np.log2(np.maximum(counts / noise, 1))).astype(np.uint8)
+    mean = float(counts.mean())
+    unit = 4 * mean**0.5 + 4  # rare shingles alone fill a cell to about its mean, give or take its root
+    return np.floor(np.log2(np.maximum((counts - mean) / unit, 0.5)) + 1).astype(np.uint8)
 
 
 _FEATURE = np.dtype([("node", "<i8"), ("n", "<i8"), ("weight", "<f4"), ("bits", "<i8", (_BITS // 64,))])
@@ -188,7 +191,7 @@ def prefix_pass(docs: DataFrame, levels: np.ndarray, salt: int, parts: int, orde
                     rows_of[k].append(np.column_stack([token[pick], (r[pick] + nodes).astype(U)]))
                     size += len(pick)
                 nodes += len(n)
-                if size > 4_000_000:
+                if size > 1_500_000:  # bounds what a task holds
                     yield flush()
         if nodes:
             yield flush()
@@ -351,6 +354,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, salt: int) -> D
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDERS, salt: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
+    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows_at_once, str(min(int(spark.conf.get(rows_at_once)), BATCH_ROWS)))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = materialise(set_pass(docs, salt), "join-docs")
     per_doc = first.where("chunk is null").select("doc_id", "n", "node", "check")
