@@ -1,22 +1,25 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 The symbols are lower-cased words and the end of a text.  A state is a context
-of 0 to 2 preceding words.  A context enters the tree when it makes up at least
-CONTEXT_SHARE of the training tokens (and was seen LEAST_COUNT times), and is
-retained when its next-symbol distribution diverges from its parent's (the
-context without its oldest word): the Kullback-Leibler divergence times its
-count must reach BITS_PER_SYMBOL bits for each symbol it lists.  Distributions
-are smoothed towards the parent's; the root's are add-one.  A token is scored
-in the state of the longest suffix of its history that is retained.
-
-Counting is exact and covers all training documents: words first, then the
-symbols after one and two context words, summed by task and then by key.  What
-every task is sent has a bound that does not depend on the corpus: at most
-1 / WORD_SHARE words are symbols of their own (all others form one class, inside
-which the root's distribution holds), at most 2 / CONTEXT_SHARE contexts pass,
-and a state lists the symbols with PAIR_SHARE of the tokens (2 / PAIR_SHARE
-entries in all; the rest of its mass goes to the parent).  Counts of the other
-words grow with the corpus; they meet the documents in a join on the word's hash.
+of 0 to DEPTH preceding words.  A context enters the tree when it was seen
+LEAST_COUNT times in training, however large the corpus, and is retained when
+its next-symbol distribution diverges from its parent's (the context without
+its oldest word): the Kullback-Leibler divergence times its count must reach
+BITS_PER_SYMBOL bits for each symbol it lists, which are those seen LEAST_PAIR
+times after it; the rest of its mass goes to the parent.  Distributions are
+smoothed towards the parent's; the root's are add-one.  A token is scored in the
+state of the longest suffix of its history that is retained.
+
+Counting is exact and covers all training documents, one pass for each length of
+context.  A pass counts sequences only after contexts that a bit filter of the
+admitted ones lets through (FILTER_BITS; a fuller filter passes more rows, never
+fewer); a join then leaves the admitted ones.
+
+The tree is a table of addends by key: what a state leaves to its parent, and
+what a listed symbol adds to that.  It grows with the corpus.  Tasks are sent the
+words with WORD_SHARE and the addends with PAIR_SHARE of the tokens (1 / WORD_SHARE
+words and 2 / PAIR_SHARE addends for each length of context at most); all others
+meet the documents in a join on their keys.  The shares change no result.
 
 Defined results: a null or blank text is the end alone.  Null ids count as the
 empty text in the fold.  Repeated rows are scored each.  Without any training
@@ -27,6 +30,7 @@ an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm.language_id import fold
-from statuta.llm.store import materialise, release, table
-from statuta.llm.textkit import U, hash_word, text_slices, word_bounds, word_hashes
+from statuta.llm.store import discard, materialise, release, table
+from statuta.llm.textkit import U, hash_word, mix, text_slices, word_bounds, word_hashes
 
+DEPTH = 2
 WORD_SHARE = 5e-6
-CONTEXT_SHARE = 1e-4
 PAIR_SHARE = 5e-7
 LEAST_COUNT = 16
 LEAST_PAIR = 2
@@ -48,7 +52,11 @@ BITS_PER_SYMBOL = 4.0
 #: Weight of the parent's distribution in a state's, in counts.
 PRIOR = 8.0
 _END_WORD = hash_word(b"\n")  # no word holds a line feed
-_SHIFT = 18  # bits of a symbol's number; 0 is the class of all other words
+_STEP = U(0x9E6C63D0676A9A99)
+_STATE = U(0x5851F42D4C957F2D)  # tells the key of a state from that of its words as a sequence
+#: Bits of a filter by key, sent packed: 8 MB.
+FILTER_BITS = 1 << 26
+_CHUNK = 1 << 15
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,178 +70,233 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return h, of
 
 
+def sequences(h: np.ndarray, row: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to order + 1: the keys of the words that end at each token, and whether one row has them."""
+    out = [(h, np.ones(len(h), bool))]
+    for _ in range(order):
+        (before, whole), key, ok = out[-1], np.zeros(len(h), U), np.zeros(len(h), bool)
+        key[1:] = mix(before[:-1] * _STEP + h[1:])
+        ok[1:] = whole[:-1] & (row[1:] == row[:-1])
+        out.append((key, ok))
+    return out
+
+
 class Symbols:
-    """Numbers of the words that are symbols of their own, and which may be context."""
+    """Numbers of the words that every task is sent; 0 is the class of all others."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
         order = np.argsort(keys)
-        self.keys, self.counts, self.tokens, self.scale = keys[order], counts[order], tokens, tokens + distinct + 1
-        self.context = np.concatenate([[False], self.counts >= max(LEAST_COUNT, CONTEXT_SHARE * tokens)])
-        end = np.searchsorted(self.keys, U(_END_WORD))
-        if end < len(keys) and self.keys[end] == U(_END_WORD):
-            self.context[end + 1] = False
+        self.keys, self.counts, self.scale = keys[order], counts[order], tokens + distinct + 1
         self.root = np.concatenate([[0.0], (self.counts + 1) / self.scale])
         self.root[0] = max(1.0 - self.root.sum(), 1.0 / self.scale)
 
     def number(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at + 1, 0)
+        at, found = _find(self.keys, h)
+        return np.where(found, at + 1, 0)
 
-    def contexts(self, symbol: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The packed contexts of one and two words before each token; -1 where there is none."""
-        one = np.full(len(symbol), -1, np.int64)
-        two = np.full(len(symbol), -1, np.int64)
-        ok = (row[1:] == row[:-1]) & self.context[symbol[:-1]]
-        one[1:][ok] = symbol[:-1][ok]
-        both = (one[2:] >= 0) & (one[1:-1] >= 0)
-        two[2:][both] = (one[1:-1][both] << _SHIFT) | one[2:][both]
-        return one, two
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, whether it is there) of each wanted key."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    one, of = np.unique(wanted, return_inverse=True)  # sorted, so that the search runs along the keys
+    at = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
+    return at[of], (keys[at] == one)[of]
 
-COUNTS = "kind int, key long, n long"
 
-
-def _count(docs: DataFrame, keys_of, kinds: tuple[int, ...], most: int = 3_000_000) -> DataFrame:
-    """(kind, key, n) of each task; keys_of gives an array of keys for each kind."""
+def _count(docs: DataFrame, keys_of, names: tuple[str, ...], most: int = 6_000_000) -> DataFrame:
+    """Distinct rows of the arrays that keys_of makes of a slice, by the first, with their number n."""
+    most //= 1 + len(names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in kinds}
-        size = dict.fromkeys(kinds, 0)
-
-        def merge(kind: int) -> None:
-            key, n = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def merge() -> None:
+            nonlocal held, size
+            *keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+            order = np.argsort(keys[0], kind="stable")
+            key = keys[0][order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            held[kind] = [(key[first], np.add.reduceat(n, first) if len(first) else n)]
-            size[kind] = len(first)
+            held = [[*(k[order[first]] for k in keys), np.add.reduceat(n[order], first) if len(first) else n]]
+            size = len(first)
 
-        def emit(kind: int) -> Iterator[pa.RecordBatch]:
-            key, n = held[kind][0]
-            for i in range(0, len(key), 1 << 16):
-                k = key[i : i + (1 << 16)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[i : i + (1 << 16)])], names=["kind", "key", "n"])
-            held[kind], size[kind] = [], 0
+        def emit() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            *keys, n = held[0]
+            for i in range(0, len(n), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[part].view(np.int64)) for k in keys), pa.array(n[part])], names=[*names, "n"])
+            held, size = [], 0
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                for kind, keys in zip(kinds, keys_of(*token_hashes(data, offsets)), strict=True):
-                    key, n = np.unique(keys, return_counts=True)
-                    held[kind].append((key, n.astype(np.int64)))
-                    size[kind] += len(key)
-                    if size[kind] > most:
-                        merge(kind)
-                        if size[kind] > most * 2 // 3:
-                            yield from emit(kind)
-        for kind in kinds:
-            if held[kind]:
-                merge(kind)
-                yield from emit(kind)
-
-    return docs.select("text").mapInArrow(task, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+                keys = keys_of(*token_hashes(data, offsets))
+                _, first, n = np.unique(keys[0], return_index=True, return_counts=True)
+                held.append([*(k[first] for k in keys), n.astype(np.int64)])
+                size += len(first)
+                if size > most:
+                    merge()
+                    if size > most * 2 // 3:
+                        yield from emit()
+        if held:
+            merge()
+            yield from emit()
+
+    schema = ", ".join(f"{x} long" for x in (*names, "n"))
+    return docs.select("text").mapInArrow(task, schema).groupBy(names[0]).agg(*(F.first(x).alias(x) for x in names[1:]), F.sum("n").alias("n"))
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return (keys >> U(3)) % U(FILTER_BITS)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each key that occurs: FILTER_BITS of them, packed, however many keys there are."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = np.unique(_bit(batch.column(0).to_numpy().view(U)))
+            np.bitwise_or.at(bits, at >> U(3), np.uint8(1) << (at & U(7)).astype(np.uint8))
+        for c in range(0, len(bits), _CHUNK):
+            if (part := bits[c : c + _CHUNK]).any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "bits": [part.tobytes()]})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(raw.as_py(), np.uint8)
+                found[chunk] = found[chunk] | got if chunk in found else got
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(found), pa.int32()), "bits": pa.array([x.tobytes() for x in found.values()], pa.binary())})
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    kind = "chunk int, bits binary"
+    for row in keys.coalesce(16).mapInArrow(task, kind).repartition(16, "chunk").mapInArrow(merged, kind).collect():
+        out[row.chunk : row.chunk + _CHUNK] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bit(keys)
+    return (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
 
 
 class SuffixTree:
-    """Retained contexts with the symbols they list; order 1 and 2 hold words before."""
+    """What tasks are sent of the tree: words, the commonest addends, and a filter of the others."""
 
-    def __init__(self, symbols: Symbols, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        """orders, for contexts of one and two words: packed (context, symbol) keys and their
-        counts, then the contexts and the counts that they do not list."""
-        self.symbols = symbols
+    def __init__(self, symbols: Symbols, keys: np.ndarray, values: np.ndarray, states: list[tuple[np.ndarray, np.ndarray]], others: np.ndarray):
+        """states: for contexts of one word and more, their keys and those of the contexts without the oldest word."""
+        order = np.argsort(keys)
+        self.symbols, self.keys, self.values, self.others = symbols, keys[order], values[order], others
         self.log_root = np.log10(symbols.root)
-        self.states: list[np.ndarray] = []
-        self.rest: list[np.ndarray] = []  # log10 of the mass that a state leaves to its parent
-        self.pairs: list[np.ndarray] = []
-        self.logs: list[np.ndarray] = []
-        mask = (1 << _SHIFT) - 1
-        for key, n, context, unlisted in orders:
-            order, by_name = np.argsort(key), np.argsort(context)
-            key, n, context, unlisted = key[order], n[order].astype(float), context[by_name], unlisted[by_name]
-            which = np.searchsorted(context, key >> _SHIFT)
-            total = np.bincount(which, weights=n, minlength=len(context)) + unlisted
-            above = 10 ** self.lookup(len(self.states), (key >> _SHIFT) & mask if self.states else None, key & mask)
-            left = unlisted + PRIOR
-            p = (n + left[which] * above) / (total + PRIOR)[which]
-            p_rest = np.maximum(1 - np.bincount(which, weights=p, minlength=len(context)), 1e-12)
-            above_rest = np.maximum(1 - np.bincount(which, weights=above, minlength=len(context)), 1e-12)
-            gain = np.bincount(which, weights=n * np.log2(p / above), minlength=len(context)) + unlisted * np.log2(p_rest / above_rest)
-            keep = gain >= BITS_PER_SYMBOL * (np.bincount(which, minlength=len(context)) + 1)
-            self.states.append(context[keep])
-            self.rest.append(np.log10(left / (total + PRIOR))[keep])
-            self.pairs.append(key[keep[which]])
-            self.logs.append(np.log10(p)[keep[which]])
-
-    def lookup(self, order: int, context: np.ndarray | None, symbol: np.ndarray) -> np.ndarray:
-        """log10 probability of symbols after contexts of up to `order` words, longest suffix first."""
+        self.states = [s for s, _ in states]
+        self.shorter = [dict(zip(s.tolist(), up.tolist(), strict=True)) for s, up in states]
+
+    def addend(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(addend, whether it is among those sent) of each key."""
+        at, found = _find(self.keys, keys)
+        out = np.zeros(len(keys))
+        out[found] = self.values[at[found]]
+        return out, found
+
+    def lookup(self, order: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 probability of symbols after contexts of `order` words that are states sent, as far as addends are sent."""
         if order == 0:
             return self.log_root[symbol]
-        states, pairs = self.states[order - 1], self.pairs[order - 1]
-        shorter = context & ((1 << _SHIFT) - 1) if order > 1 else None
-        if not len(states):
-            return self.lookup(order - 1, shorter, symbol)
-        out = np.empty(len(symbol))
-        at = np.minimum(np.searchsorted(states, context), len(states) - 1)
-        has = states[at] == context
-        found = np.zeros(len(symbol), bool)
-        if len(pairs):
-            key = (context << _SHIFT) | symbol
-            place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            found = has & (pairs[place] == key)
-            out[found] = self.logs[order - 1][place[found]]
-        other = ~found
-        out[other] = self.lookup(order - 1, None if shorter is None else shorter[other], symbol[other])
-        out[has & other] += self.rest[order - 1][at[has & other]]
-        return out
-
-    def score(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """log10 probability of each token in its history's state."""
-        one, two = self.symbols.contexts(symbol, row)
-        out = self.log_root[symbol]
-        for order, context in ((1, one), (2, two)):
-            has = np.flatnonzero(context >= 0)
-            if order == 2:  # where no state of two words is, the score after one word stands
-                states = self.states[1]
-                has = has[states[np.minimum(np.searchsorted(states, context[has]), len(states) - 1)] == context[has]] if len(states) else has[:0]
-            out[has] = self.lookup(order, context[has], symbol[has])
-        return out
-
-
-def train(docs: DataFrame) -> tuple[SuffixTree, DataFrame, int, int]:
-    """(tree, word counts, tokens, distinct tokens) of all docs."""
+        h = np.concatenate([np.zeros(1, U), self.symbols.keys])[symbol]
+        own = self.addend(context ^ _STATE)[0] + np.where(symbol > 0, self.addend(mix(context * _STEP + h))[0], 0.0)
+        above = np.array([self.shorter[order - 1][c] for c in context.tolist()], U)
+        return own + self.lookup(order - 1, above, symbol)
+
+    def score(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What contexts add to each token's log10 probability, and (key, token) of the addends that a join must give."""
+        out, keys, tokens = np.zeros(len(h)), [], []
+        made = sequences(h, row, DEPTH)
+        for order in range(1, DEPTH + 1):
+            at = np.flatnonzero(made[order][1])
+            for before in (True, False):  # the state, then the symbol it lists: without the one there is no other
+                key = made[order - 1][0][at - 1] ^ _STATE if before else made[order][0][at]
+                value, found = self.addend(key)
+                out[at] += value
+                more = ~found
+                more[more] = _may_hold(self.others, key[more])
+                keys.append(key[more])
+                tokens.append(at[more])
+                at = at[found | more]
+        return out, np.concatenate(keys), np.concatenate(tokens)
+
+
+def grow(docs: DataFrame, order: int, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sequences that contexts of `order` words list, and the states among these contexts.
+
+    lower has the sequences of `order` words: key, up (the key without the oldest
+    word), n and log_p, the last word's log10 probability in its state.  A context's
+    count is that of its words as a sequence, since each word has a follower.
+    """
     spark = docs.sparkSession
-    words = materialise(_count(docs, lambda h, _: (h,), (0,)).select("key", "n"), "lm-words")
+    contexts = lower.where(F.col("n") >= LEAST_COUNT).select(F.col("key").alias("ctx"), F.col("up").alias("shorter"), F.col("n").alias("total"))
+    sent = spark.sparkContext.broadcast(key_filter(contexts.select("ctx")))
+
+    def after_contexts(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        *_, (up, _), (key, ok) = sequences(h, row, order)
+        at = np.flatnonzero(ok)
+        at = at[_may_hold(sent.value, up[at - 1])]
+        return key[at], up[at - 1], up[at]
+
+    counts = _count(docs, after_contexts, ("key", "ctx", "up")).where(F.col("n") >= LEAST_PAIR)
+    counts = materialise(counts.join(contexts, "ctx"), "lm-sequences")
     release(spark)
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = words.where(F.col("n") >= F.lit(WORD_SHARE * tokens)).toArrow()  # 1 / WORD_SHARE rows at most
-    symbols = Symbols(common["key"].to_numpy().view(U), common["n"].to_numpy(), tokens, distinct)
-    sent = spark.sparkContext.broadcast(symbols)
+    rows = materialise(counts.join(lower.select(F.col("key").alias("up"), F.col("log_p").alias("above")), "up"), "lm-listed")
+    discard(counts)
+    release(spark)
+    sums = rows.groupBy("ctx").agg(F.first("total").alias("total"), F.first("shorter").alias("shorter"), F.sum("n").alias("shown"), F.count("*").alias("listed"), F.sum(F.pow(F.lit(10.0), "above")).alias("above_sum"))
+    left = F.col("total") - F.col("shown") + PRIOR
+    p = (F.col("n") + left * F.pow(F.lit(10.0), "above")) / (F.col("total") + PRIOR)
+    saved = rows.select("ctx", "n", "above").join(sums.select("ctx", "total", "shown"), "ctx").withColumn("p", p)
+    saved = saved.groupBy("ctx").agg(F.sum("p").alias("p_sum"), F.sum(F.col("n") * (F.log2("p") - F.col("above") * float(np.log2(10)))).alias("gain"))
+    least = F.lit(1e-12)
+    rest_gain = (F.col("total") - F.col("shown")) * F.log2(F.greatest(1 - F.col("p_sum"), least) / F.greatest(1 - F.col("above_sum"), least))
+    kept = sums.join(saved, "ctx").where(F.col("gain") + rest_gain >= BITS_PER_SYMBOL * (F.col("listed") + 1))
+    states = materialise(kept.select("ctx", "shorter", "total", "shown", F.log10(left / (F.col("total") + PRIOR)).alias("rest")), "lm-states")
+    log_p = F.when(F.col("rest").isNull(), F.col("above")).otherwise(F.log10(p))
+    named = rows.drop("total").join(states.drop("shorter"), "ctx", "left")
+    listed = materialise(named.select("key", "up", "n", log_p.alias("log_p"), (log_p - F.col("above") - F.col("rest")).alias("value")), "lm-tree")
+    discard(rows)
+    release(spark)
+    return listed, states
 
-    def after_contexts(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        symbol = sent.value.number(h)
-        return tuple((c[c >= 0] << _SHIFT) | symbol[c >= 0] for c in sent.value.contexts(symbol, row))
 
-    counts = materialise(_count(docs, after_contexts, (1, 2)), "lm-contexts")
+def train(docs: DataFrame) -> tuple[SuffixTree, DataFrame, int, int, DataFrame]:
+    """(tree, word counts, tokens, distinct tokens, addends that tasks are not sent) of all docs."""
+    spark = docs.sparkSession
+    words = materialise(_count(docs, lambda h, _: (h,), ("key",)), "lm-words")
     release(spark)
-    least = max(LEAST_COUNT, CONTEXT_SHARE * tokens)
-    listed = max(LEAST_PAIR, PAIR_SHARE * tokens)
-    orders = []
-    for kind in (1, 2):
-        mine = counts.where(F.col("kind") == kind).select("key", "n", F.shiftright("key", _SHIFT).alias("context"))
-        frequent = mine.groupBy("context").agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("n") >= listed, F.col("n")).otherwise(0)).alias("shown")).where(F.col("seen") >= least)
-        # PAIR_SHARE and CONTEXT_SHARE bound what follows
-        entries = mine.where(F.col("n") >= listed).join(frequent, "context", "left_semi").select("key", "n").toArrow()
-        unlisted = frequent.select("context", (F.col("seen") - F.col("shown")).alias("n")).toArrow()
-        orders.append((entries["key"].to_numpy(), entries["n"].to_numpy(), unlisted["context"].to_numpy(), unlisted["n"].to_numpy()))
-    return SuffixTree(symbols, orders), words, tokens, distinct
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    common = words.where(F.col("n") >= F.lit(WORD_SHARE * tokens)).toArrow()  # 1 / WORD_SHARE rows at most
+    symbols = Symbols(common["key"].to_numpy().view(U), common["n"].to_numpy(), tokens, distinct)
+    lower = words.select("key", F.lit(0).cast("long").alias("up"), "n", F.log10((F.col("n") + 1) / F.lit(float(symbols.scale))).alias("log_p"))
+    addends, states = [], []
+    share = F.lit(PAIR_SHARE * tokens)
+    for order in range(1, DEPTH + 1):
+        lower, found = grow(docs, order, lower)
+        addends += [lower.where("value is not null").select("key", "value", "n"), found.select(F.col("ctx").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("key"), F.col("rest").alias("value"), F.col("total").alias("n"))]
+        frequent = found.where(F.col("total") >= share).select("ctx", "shorter").toArrow()
+        states.append((frequent["ctx"].to_numpy().view(U), frequent["shorter"].to_numpy().view(U)))
+    model = reduce(DataFrame.unionByName, addends)
+    head = model.where(F.col("n") >= share).toArrow()  # 2 / PAIR_SHARE rows for each order at most
+    others = model.where(F.col("n") < share).select("key", "value")
+    tree = SuffixTree(symbols, head["key"].to_numpy().view(U), head["value"].to_numpy(), states, key_filter(others.select("key")))
+    return tree, words, tokens, distinct, others
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_rare long, rare array<long>"
 
 
 def score_pass(docs: DataFrame, tree: SuffixTree) -> DataFrame:
-    """The scores of each row as far as symbols go, and the hashes of its other words."""
+    """The scores of each row as far as tasks know them, and the keys of its other words and addends."""
     sent = docs.sparkSession.sparkContext.broadcast(tree)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +308,16 @@ def score_pass(docs: DataFrame, tree: SuffixTree) -> DataFrame:
                 symbol = tree.symbols.number(h)
                 known = symbol > 0
                 rare = np.flatnonzero(~known)
-                score = tree.score(symbol, row)
-                score[rare] -= tree.log_root[0]  # the word's share of its class comes from the join
                 base = np.where(known, tree.log_root[symbol], 0.0)
+                added, keys, tokens = tree.score(h, row)
+                of = np.concatenate([row[rare], row[tokens]])
+                order = np.argsort(of, kind="stable")
+                of, keys = of[order], np.concatenate([h[rare], keys])[order]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(uid, uid + rows)), batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(np.bincount(row, minlength=rows)),
-                        pa.array(np.bincount(row[known], minlength=rows)), pa.array(np.bincount(row, weights=base, minlength=rows)), pa.array(np.bincount(row, weights=score, minlength=rows)),
-                        pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rare], np.arange(rows + 1)), pa.int32()), pa.array(h[rare].view(np.int64))),
+                        pa.array(np.bincount(row[known], minlength=rows)), pa.array(np.bincount(row, weights=base, minlength=rows)), pa.array(np.bincount(row, weights=base + added, minlength=rows)), pa.array(np.bincount(row[rare], minlength=rows)),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32()), pa.array(keys.view(np.int64))),
                     ],
                     names=[x.split()[0] for x in SCORED.split(", ")],
                 )
@@ -264,21 +329,24 @@ def score_pass(docs: DataFrame, tree: SuffixTree) -> DataFrame:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, 7) == 2).alias("held_out"), F.col(text_col).alias("text"))
-    tree, words, tokens, distinct = train(rows.where(~F.col("held_out")))
+    tree, words, tokens, distinct, addends = train(rows.where(~F.col("held_out")))
     scored = materialise(score_pass(rows, tree), "lm-scored")
     release(docs.sparkSession)
-    others = words.where(F.col("n") < F.lit(WORD_SHARE * tokens))
-    rare = scored.select("uid", F.explode("rare").alias("key")).join(others, "key").groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
+    others = words.where(F.col("n") < F.lit(WORD_SHARE * tokens)).select("key", F.lit(1).alias("word"), F.log10(F.col("n") + 1.0).alias("value"))
+    others = others.unionByName(addends.select("key", F.lit(0).alias("word"), "value"))
+    more = scored.select("uid", F.explode("rare").alias("key")).join(others, "key").groupBy("uid").agg(
+        F.sum("word").alias("more"), F.sum(F.when(F.col("word") == 1, F.col("value"))).alias("logs"), F.sum(F.when(F.col("word") == 0, F.col("value"))).alias("added")
+    )
     scale = F.log10(F.lit(float(tokens + distinct + 1)))
-    in_class = F.coalesce("logs", F.lit(0.0)) - F.size("rare") * scale
-    return scored.join(rare, "uid", "left").select(
+    in_class = F.coalesce("logs", F.lit(0.0)) - F.col("n_rare") * scale
+    return scored.join(more, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + in_class).alias("base_score"),
-        (F.col("score") + in_class).alias("score"),
+        (F.col("score") + in_class + F.coalesce("added", F.lit(0.0))).alias("score"),
     )
 
 

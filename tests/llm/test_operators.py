@@ -296,3 +296,61 @@ def test_pipeline(spark, tables):
         assert stage(spark, docs.limit(0), d).count() == 0
     assert corpus_pipeline.run(spark, d).count() > 0
     assert corpus_pipeline.run(spark, tables["empty"]).count() == 0
+
+
+def suffix_tree_scores(rows):
+    """Scores by the tree written out in plain Python: counts, the divergence test, longest retained suffix."""
+    from statuta.llm.suffix_tree_lm import BITS_PER_SYMBOL, LEAST_COUNT, LEAST_PAIR, PRIOR
+
+    train = [tokens(t) + [b"\n"] for d, t in rows if id_fold(d, 7) != 2]
+    c = Counter(itertools.chain(*train))
+    n, v = sum(c.values()), len(c)
+    after, states = {}, {}
+    for t in train:
+        for i in range(len(t)):
+            for order in (1, 2):
+                if i >= order:
+                    after.setdefault(tuple(t[i - order : i]), Counter())[t[i]] += 1
+
+    def prob(ctx, w):
+        if not ctx:
+            return (c[w] + 1) / (n + v + 1)
+        if ctx not in states:
+            return prob(ctx[1:], w)
+        listed, rest = states[ctx]
+        return listed[w] if w in listed else rest * prob(ctx[1:], w)
+
+    for ctx in sorted(after, key=len):
+        total, listed = sum(after[ctx].values()), {w: k for w, k in after[ctx].items() if k >= LEAST_PAIR}
+        if total < LEAST_COUNT or not listed:
+            continue
+        left = total - sum(listed.values()) + PRIOR
+        above = {w: prob(ctx[1:], w) for w in listed}
+        p = {w: (k + left * above[w]) / (total + PRIOR) for w, k in listed.items()}
+        gain = sum(k * math.log2(p[w] / above[w]) for w, k in listed.items())
+        gain += (left - PRIOR) * math.log2(max(1 - sum(p.values()), 1e-12) / max(1 - sum(above.values()), 1e-12))
+        if gain >= BITS_PER_SYMBOL * (len(listed) + 1):
+            states[ctx] = p, left / (total + PRIOR)
+    out = Counter()
+    for d, t in rows:
+        t = tokens(t) + [b"\n"]
+        out[d, round(sum(math.log10(prob(tuple(t[max(i - 2, 0) : i]), w)) for i, w in enumerate(t)), 4)] += 1
+    return out, states
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_suffix_tree_keeps_its_contexts_as_the_corpus_grows(spark, monkeypatch, sent):
+    """A context of a few dozen occurrences among half a million tokens or more is a state, sent to tasks or joined."""
+    from statuta.llm import suffix_tree_lm
+
+    if not sent:
+        monkeypatch.setattr(suffix_tree_lm, "PAIR_SHARE", 1.0)
+        monkeypatch.setattr(suffix_tree_lm, "WORD_SHARE", 1.0)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["red sky above", "old sea below", f"u{k}"]) for _ in range(10))) for k in range(12)]
+    rows += [(100 + k, " ".join(f"w{k}x{i}" for i in range(150_000))) for k in range(5)]
+    rows += [(None, "red sky above"), (300, None)]
+    want, states = suffix_tree_scores(rows)
+    assert (b"red",) in states and any(len(s) == 2 for s in states)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, round(r.score, 4)) for r in suffix_tree_lm.score_documents(docs).collect()) == want
