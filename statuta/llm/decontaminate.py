@@ -2,13 +2,16 @@
 
 A text becomes a sequence of template tokens: words in lower case without outer
 punctuation, numbers as <NUM>, units after a number as <UNIT>, and capitalised
-words inside a sentence (but not those all in capitals) as <NAME>.  Windows of WINDOW template tokens of the
-documents are hash-joined with those of the benchmark items (an item shorter
-than that is one window).  Matches are lined up by their distance (position in
+words inside a sentence (but not those all in capitals) as <NAME>.  Since names
+are told by case, a second view of the text keeps names as words; letters of all
+scripts are folded in both, so case alone hides no copy.  Windows of WINDOW
+template tokens of the documents are, in each view, hash-joined with those of the benchmark items (an item shorter
+than that is one window).  Matches of a view are lined up by their distance (position in
 the document less position in the item); in each line the values of the slots
 must agree: one item value stands for one document value throughout.  So an
 item with other numbers or names is still found, and chance matches that fill
-the slots at random are not.
+the slots at random are not.  An item is found when its windows matched in
+one view, or in all views together, are COVERAGE of those it has there.
 
 The map side keeps only windows that occur in the benchmark when its distinct
 windows number at most FILTER_WINDOWS (counted first); beyond that every window
@@ -22,11 +25,14 @@ columns are ignored by the search and kept by drop_contaminated().
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm.store import materialise, table
@@ -51,27 +57,69 @@ _STOP[[ord(c) for c in ".!?:;"]] = True
 _STEP = U(0x9FB21C651E98DF25)
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, slot flag, row, start, end) of each template token of the texts of a slice."""
-    start, end, row = word_bounds(data, offsets)
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a slice without case; no letter's other case is, or has, a space or an ASCII mark."""
+    if not (data > 127).any():
+        return LOWER[data], offsets
+    raw = data.tobytes()
+    texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    texts = [x.lower() if x.isascii() else x.decode("utf-8", "replace").upper().casefold().encode() for x in texts]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+
+
+def cores(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, end with outer marks) of each word, without outer marks; empty if it has no more."""
+    raw_start, raw_end, row = word_bounds(data, offsets)
     n = len(data)
-    if not len(start):
-        return np.zeros(0, U), np.zeros(0, bool), row, start, end
     core = ~(SPACE[data] | _MARK[data])
     at = np.arange(n)
     after = np.minimum.accumulate(np.where(core, at, n)[::-1])[::-1]
     before = np.maximum.accumulate(np.where(core, at, -1))
-    raw_end = end
-    start, end = after[start], before[end - 1] + 1
+    return after[raw_start], before[raw_end - 1] + 1, row, raw_end
+
+
+class Template(NamedTuple):
+    """The template tokens of the texts of a slice: their rows, hashes as words, and which are slots of a kind."""
+
+    row: np.ndarray
+    words: np.ndarray
+    number: np.ndarray
+    name: np.ndarray
+    unit: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def view(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, slot flag) of each token; names are slots in view 0 and words in view 1."""
+        h, slot = self.words.copy(), self.number | self.unit
+        h[self.number], h[self.unit] = U(_NUM), U(_UNIT)
+        if k == 0:
+            h[self.name] = U(_NAME)
+            slot = slot | self.name
+        return h, slot
+
+    def value(self, t: int) -> str:
+        return self.data[self.start[t] : self.end[t]].tobytes().decode("utf-8", "replace")
+
+
+def template(data: np.ndarray, offsets: np.ndarray) -> Template:
+    """The template tokens of the texts of a slice, in order."""
+    start, end, row, raw_end = cores(data, offsets) if len(data) else [np.zeros(0, np.int64)] * 4
+    n = len(data)
     kept = start < end
+    if not kept.any():
+        none = np.zeros(0, np.int64)
+        return Template(none, np.zeros(0, U), *[np.zeros(0, bool)] * 3, data, none, none)
+    plain, plain_offsets = folded(data, offsets)
+    plain_start, plain_end, _, _ = cores(plain, plain_offsets)
+    plain_start, plain_end = plain_start[kept], plain_end[kept]
     prev_end = np.concatenate([[0], raw_end[:-1]])
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     opens = np.concatenate([[True], row[1:] != row[:-1]]) | _STOP[data[np.maximum(prev_end - 1, 0)]]
     start, end, row, opens, prev_end = start[kept], end[kept], row[kept], opens[kept], prev_end[kept]
-    if not len(start):
-        return np.zeros(0, U), np.zeros(0, bool), row, start, end
     opens |= lines[start] > lines[prev_end]
-    h = word_hashes(data, start, end)
+    h = word_hashes(plain, plain_start, plain_end)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     number = digits[end] > digits[start]
     first = data[start]
@@ -83,8 +131,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     after_number = np.concatenate([[False], number[:-1] & (row[1:] == row[:-1])])
     known = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)] == h
     unit = after_number & known & ~number
-    h[number], h[name], h[unit] = U(_NUM), U(_NAME), U(_UNIT)
-    return h, number | name | unit, row, start, end
+    return Template(row, h, number, name & ~unit, unit, plain, plain_start, plain_end)
 
 
 def windows(h: np.ndarray, slot: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,22 +148,27 @@ def windows(h: np.ndarray, slot: np.ndarray, row: np.ndarray, width: int) -> tup
     return mix(out[ok]), first
 
 
-WINDOWS = "id long, position long, width int, tokens long, key long, slots array<string>"
+VIEWS = (0, 1)
+WINDOWS = "id long, position long, view int, width int, tokens long, key long, slots array<string>"
 
 
-def template_windows(texts: DataFrame, id_col: str, text_col: str, widths: list[int] | None = None, known: np.ndarray | None = None) -> DataFrame:
-    """Windows of texts; without widths, those by which items are searched."""
+def template_windows(texts: DataFrame, id_col: str, text_col: str, searched: list[tuple[int, int]] | None = None, known: np.ndarray | None = None) -> DataFrame:
+    """Windows of texts in the views and widths to search; without these, those by which items are searched."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for at, rows, data, offsets in text_slices(batch.column(1)):
-                h, slot, row, start, end = template(data, offsets)
+                made = template(data, offsets)
+                row = made.row
                 counts = np.bincount(row, minlength=rows)
                 firsts = np.cumsum(counts) - counts
-                for width in widths or range(MIN_TOKENS, WINDOW + 1):
+                views = {k: made.view(k) for k in VIEWS}
+                for view, width in searched or itertools.product(VIEWS, range(MIN_TOKENS, WINDOW + 1)):
+                    h, slot = views[view]
                     key, first = windows(h, slot, row, width)
-                    if widths is None:  # an item's own width is its length, WINDOW at most
+                    key = mix(key ^ U(view))
+                    if searched is None:  # an item's own width is its length, WINDOW at most
                         own = np.minimum(counts[row[first]], WINDOW) == width
                         key, first = key[own], first[own]
                     if known is not None and len(key):
@@ -124,10 +176,11 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, widths: list[
                         key, first = key[hit], first[hit]
                     if not len(key):
                         continue
-                    slots = [[LOWER[data[start[t] : end[t]]].tobytes().decode("utf-8", "replace") for t in range(f, f + width) if slot[t]] for f in first.tolist()]
+                    slots = [[made.value(t) for t in range(f, f + width) if slot[t]] for f in first.tolist()]
                     yield pa.RecordBatch.from_pydict({
                         "id": ids.take(pa.array(at + row[first])),
                         "position": pa.array(first - firsts[row[first]], pa.int64()),
+                        "view": pa.array(np.full(len(first), view), pa.int32()),
                         "width": pa.array(np.full(len(first), width), pa.int32()),
                         "tokens": pa.array(counts[row[first]], pa.int64()),
                         "key": pa.array(key.view(np.int64)),
@@ -140,29 +193,37 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, widths: list[
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
     """doc_id, item_id, matched and total windows, and whether slot values are the item's own."""
     bench = materialise(template_windows(items, item_col, item_text), "bench-windows")
-    widths = sorted(r.width for r in bench.select("width").distinct().collect())
+    searched = sorted((r.view, r.width) for r in bench.select("view", "width").distinct().collect())
     known = None
     if bench.count() <= filter_windows:
         known = np.unique(np.array([r.key for r in bench.select("key").distinct().collect()], dtype=np.int64).view(U))
-    found = template_windows(docs, id_col, text_col, widths or [WINDOW], known)
-    totals = bench.groupBy("id").agg(F.count_distinct("position").alias("item_windows"))
-    items_side = bench.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "key", F.col("slots").alias("item_slots"))
-    pairs = found.join(items_side, "key").select(
-        F.col("id").alias("doc_id"), "item_id", "item_position", (F.col("position") - F.col("item_position")).alias("distance"),
+    found = template_windows(docs, id_col, text_col, searched or [(0, WINDOW)], known)
+    totals = bench.groupBy("id").agg(F.count_distinct("position").alias("item_windows"), *_of_views(lambda k: F.count_distinct(F.when(F.col("view") == k, F.col("position"))), "total"))
+    items_side = bench.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "view", "key", F.col("slots").alias("item_slots"))
+    pairs = found.drop("view").join(items_side, "key").select(
+        "view", F.col("id").alias("doc_id"), "item_id", "item_position", (F.col("position") - F.col("item_position")).alias("distance"),
         F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("values"),
     )
-    lines = pairs.groupBy("doc_id", "item_id", "distance").agg(F.collect_set("item_position").alias("positions"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
+    lines = pairs.groupBy("doc_id", "item_id", "distance", "view").agg(F.collect_set("item_position").alias("positions"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
     one_value = F.size(F.array_distinct(F.transform("values", lambda v: v["a"]))) == F.size("values")
     same = F.forall("values", lambda v: v["a"].eqNullSafe(v["b"]))
-    agreeing = lines.where(one_value).select("doc_id", "item_id", "positions", same.alias("same"))
-    by_pair = agreeing.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long").alias("matched_windows"), F.bool_and("same").alias("same_values"))
+    agreeing = lines.where(one_value).select("doc_id", "item_id", "view", "positions", same.alias("same"))
+    matched = lambda positions: F.size(F.array_distinct(F.flatten(F.collect_set(positions)))).cast("long")
+    by_pair = agreeing.groupBy("doc_id", "item_id").agg(
+        matched(F.col("positions")).alias("matched_windows"), F.bool_and("same").alias("same_values"), *_of_views(lambda k: matched(F.when(F.col("view") == k, F.col("positions"))), "matched")
+    )
+    enough = [(F.col(f"matched{k}") > 0) & (F.col(f"matched{k}") >= F.col(f"total{k}") * coverage) for k in VIEWS]
     return (
         by_pair.join(totals, by_pair.item_id == totals.id)
-        .where(F.col("matched_windows") >= F.col("item_windows") * coverage)
+        .where(reduce(Column.__or__, enough, F.col("matched_windows") >= F.col("item_windows") * coverage))
         .select("doc_id", "item_id", "matched_windows", "item_windows", "same_values")
     )
 
 
+def _of_views(made: Callable[[int], Column], name: str) -> list[Column]:
+    return [made(k).alias(f"{name}{k}") for k in VIEWS]
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
     hits = find_contamination(docs, items).select(F.col("doc_id").alias("hit_doc_id")).distinct()

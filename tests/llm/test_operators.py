@@ -354,3 +354,14 @@ def test_suffix_tree_keeps_its_contexts_as_the_corpus_grows(spark, monkeypatch,
     assert (b"red",) in states and any(len(s) == 2 for s in states)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert Counter((r.doc_id, round(r.score, 4)) for r in suffix_tree_lm.score_documents(docs).collect()) == want
+
+
+def test_decontamination_does_not_depend_on_case(spark):
+    from statuta.llm.decontaminate import find_contamination
+
+    item = "la forêt était très ensoleillée où ÉMILE Noël même été à Genève près des garçons et straße über ŁÓDŹ"
+    named = "we saw Anna Berg with Carl Dorn and Emil Falk near Graz before Hugo Imhof met Jana Kern of Linz"
+    items = spark.createDataFrame([(1, item), (2, named)], "item_id long, text string")
+    docs = [(10 * i + k, f"so {x} then") for i, t in ((1, item), (2, named)) for k, x in enumerate((t, t.upper(), t.lower(), t.title()))]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, d // 10) for d, _ in docs}
