@@ -21,16 +21,18 @@ FROM (SELECT s_suppkey, n_name,
 STAR_SQL = """
 SELECT 'S' || CAST(s_suppkey AS STRING) AS subject, 'basedIn' AS predicate, 'N' || CAST(s_nationkey AS STRING) AS object, CAST(s_suppkey AS BIGINT) AS seq FROM supplier
 UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), 'registeredIn', 'N' || CAST(s_nationkey AS STRING), CAST(1000000000 + s_suppkey AS BIGINT) FROM supplier WHERE s_suppkey % 4 = 0
-UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), 'residesIn', 'N' || CAST(c_nationkey AS STRING), CAST(2000000000 + c_custkey AS BIGINT) FROM customer WHERE c_custkey % 10 = 0
+UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), 'residesIn', 'N' || CAST(c_nationkey AS STRING), CAST(2000000000 + c_custkey AS BIGINT) FROM customer
 UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'locatedIn', 'R' || CAST(n_regionkey AS STRING), CAST(3000000000 + n_nationkey AS BIGINT) FROM nation
 UNION ALL SELECT 'R' || CAST(r_regionkey AS STRING), 'listedWith', 'N' || CAST(r_regionkey AS STRING), CAST(4000000000 + r_regionkey AS BIGINT) FROM region
 """
 
-#: Hits of three chunks: suppliers, a nation, and a node of neither graph.
+#: Hits of chunks: every supplier (two or fewer to a chunk), customer (ten) and nation (one), and nodes of neither graph.
 HITS_SQL = """
-SELECT CAST(s_suppkey % 3 AS BIGINT) AS chunk_id, 'S' || CAST(s_suppkey AS STRING) AS node_id FROM supplier WHERE s_suppkey <= 6
+SELECT CAST(FLOOR((s_suppkey - 1) / 6) AS BIGINT) * 3 + s_suppkey % 3 AS chunk_id, 'S' || CAST(s_suppkey AS STRING) AS node_id FROM supplier
+UNION ALL SELECT CAST(FLOOR(c_custkey / 10) AS BIGINT) + 1000000000, 'C' || CAST(c_custkey AS STRING) FROM customer
+UNION ALL SELECT CAST(-2 - n_nationkey AS BIGINT), 'N' || CAST(n_nationkey AS STRING) FROM nation
 UNION ALL SELECT 1, 'N3' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 2, 'elsewhere' FROM region WHERE r_regionkey = 0
-UNION ALL SELECT 3, 'nowhere' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT -1, 'nowhere' FROM region WHERE r_regionkey = 0
 """
 
 #: Links among suppliers, as the second graph of a fusion.
