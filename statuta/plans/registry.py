@@ -476,10 +476,15 @@ def experiment_windows(spark, d):
     return rows.groupBy("experiment").agg(F.count("*").alias("n_chunks"))
 
 
+@query()
+def experiment_arms(spark, d):
+    return retrieval.experiment_chunks(_docs(spark, d), DIM).groupBy("experiment").agg(F.count("*").alias("n_chunks"))
+
+
 @query()
 def experiment_summary(spark, d):
     queries = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.summary(retrieval.run_experiment(_policy(spark, d), queries, DIM))
+    return retrieval.summary(retrieval.run_experiment(_docs(spark, d), queries, DIM))
 
 
 def queries() -> dict:
