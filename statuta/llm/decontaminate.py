@@ -4,21 +4,24 @@ A text becomes a sequence of template tokens: words in lower case without outer
 punctuation, numbers as <NUM>, units after a number as <UNIT>, and capitalised
 words inside a sentence (but not those all in capitals) as <NAME>.  Since names
 are told by case, a second view of the text keeps names as words; letters of all
-scripts are folded in both, so case alone hides no copy.  Windows of WINDOW
+scripts are folded in both, so case alone hides no copy.  A third view has the
+words as they are, numbers and units too; there only windows are searched that
+have too few literal tokens for the second (LITERALS), and those of items of
+fewer than MIN_TOKENS tokens, so exact copies of them are found.  Windows of WINDOW
 template tokens of the documents are, in each view, hash-joined with those of the benchmark items (an item shorter
 than that is one window).  Matches of a view are lined up by their distance (position in
 the document less position in the item); in each line the values of the slots
 must agree: one item value stands for one document value throughout.  So an
 item with other numbers or names is still found, and chance matches that fill
 the slots at random are not.  An item is found when its windows matched in
-one view, or in all views together, are COVERAGE of those it has there.
+the first or second view, or in all views together, are COVERAGE of those it has there.
 
 The map side keeps only windows that occur in the benchmark when its distinct
 windows number at most FILTER_WINDOWS (counted first); beyond that every window
 goes to the join, which gives the same rows.
 
 Defined results: a null or blank text or item matches nothing; items of fewer
-than MIN_TOKENS template tokens are never matched; rows that repeat an id are
+than MIN_TOKENS template tokens are matched word for word only; rows that repeat an id are
 one document; an empty table on either side gives an empty result.  Extra
 columns are ignored by the search and kept by drop_contaminated().
 """
@@ -91,7 +94,9 @@ class Template(NamedTuple):
     end: np.ndarray
 
     def view(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, slot flag) of each token; names are slots in view 0 and words in view 1."""
+        """(hash, slot flag) of each token; names are slots in view 0 and words in view 1; view 2 has no slots."""
+        if k == 2:
+            return self.words, np.zeros(len(self.words), bool)
         h, slot = self.words.copy(), self.number | self.unit
         h[self.number], h[self.unit] = U(_NUM), U(_UNIT)
         if k == 0:
@@ -148,7 +153,7 @@ def windows(h: np.ndarray, slot: np.ndarray, row: np.ndarray, width: int) -> tup
     return mix(out[ok]), first
 
 
-VIEWS = (0, 1)
+VIEWS = (0, 1, 2)
 WINDOWS = "id long, position long, view int, width int, tokens long, key long, slots array<string>"
 
 
@@ -164,13 +169,18 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, searched: lis
                 counts = np.bincount(row, minlength=rows)
                 firsts = np.cumsum(counts) - counts
                 views = {k: made.view(k) for k in VIEWS}
-                for view, width in searched or itertools.product(VIEWS, range(MIN_TOKENS, WINDOW + 1)):
+                for view, width in searched or itertools.product(VIEWS, range(1, WINDOW + 1)):
+                    if view < 2 and width < MIN_TOKENS:
+                        continue
                     h, slot = views[view]
                     key, first = windows(h, slot, row, width)
                     key = mix(key ^ U(view))
                     if searched is None:  # an item's own width is its length, WINDOW at most
                         own = np.minimum(counts[row[first]], WINDOW) == width
                         key, first = key[own], first[own]
+                        if view == 2 and width >= MIN_TOKENS:  # the documents' windows of this view are not told apart
+                            poor = ~np.isin(first, windows(*views[1], row, width)[1])
+                            key, first = key[poor], first[poor]
                     if known is not None and len(key):
                         hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
                         key, first = key[hit], first[hit]
@@ -212,7 +222,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     by_pair = agreeing.groupBy("doc_id", "item_id").agg(
         matched(F.col("positions")).alias("matched_windows"), F.bool_and("same").alias("same_values"), *_of_views(lambda k: matched(F.when(F.col("view") == k, F.col("positions"))), "matched")
     )
-    enough = [(F.col(f"matched{k}") > 0) & (F.col(f"matched{k}") >= F.col(f"total{k}") * coverage) for k in VIEWS]
+    enough = [(F.col(f"matched{k}") > 0) & (F.col(f"matched{k}") >= F.col(f"total{k}") * coverage) for k in VIEWS[:2]]
     return (
         by_pair.join(totals, by_pair.item_id == totals.id)
         .where(reduce(Column.__or__, enough, F.col("matched_windows") >= F.col("item_windows") * coverage))

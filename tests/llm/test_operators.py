@@ -365,3 +365,14 @@ def test_decontamination_does_not_depend_on_case(spark):
     docs = [(10 * i + k, f"so {x} then") for i, t in ((1, item), (2, named)) for k, x in enumerate((t, t.upper(), t.lower(), t.title()))]
     got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(d, d // 10) for d, _ in docs}
+
+
+def test_decontamination_finds_exact_copies_of_items_without_literals(spark):
+    from statuta.llm.decontaminate import find_contamination
+
+    texts = ["Compute 12 * 35 + 7", "3 14 15 92 65 35 89 79 32 38 46 26", "short item", "Compute 12 * 35 + 7 of 99 and 40 kg 50 kg 60 kg 70 80 90"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(k, f"so {x.upper()} then") for k, x in enumerate(texts)] + [(9, "so Compute 13 * 35 + 7 then"), (10, "3 14 15 92 65 35 88 79 32 38 46 27")]
+    for most in (0, 1000):
+        got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), items, filter_windows=most).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 3), (3, 0)}
