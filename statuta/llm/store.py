@@ -1,25 +1,39 @@
 """Intermediate tables in the shared folder that the session names.
 
 A table is written and read again instead of cached, so that lost executors
-cost no recomputation.  `spark.checkpoint.dir` is used when set; without it
-(tests, local runs) a folder below the system's temporary folder is.
+cost no recomputation.  `spark.checkpoint.dir` names the folder; without it
+tables go below the session's warehouse, which a cluster shares, too, and in
+local mode (one machine) to a temporary folder that goes with the process.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_local: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.gettempdir().rstrip("/") + "/checkpoints"
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/statuta-scratch"
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="statuta-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,6 +60,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """At most so many rows in the Arrow batches of jobs run inside; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(was), most) if int(was) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A key of a row's id and text: rows that repeat an id with another text, or have none, differ."""
+    return F.xxhash64(docs[id_col], docs[id_col].isNull(), docs[text_col], F.length(docs[text_col]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

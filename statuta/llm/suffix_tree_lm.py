@@ -1,25 +1,29 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 The symbols are lower-cased words and the end of a text.  A state is a context
-of 0 to DEPTH preceding words.  A context enters the tree when it was seen
-LEAST_COUNT times in training, however large the corpus, and is retained when
-its next-symbol distribution diverges from its parent's (the context without
-its oldest word): the Kullback-Leibler divergence times its count must reach
-BITS_PER_SYMBOL bits for each symbol it lists, which are those seen LEAST_PAIR
-times after it; the rest of its mass goes to the parent.  Distributions are
-smoothed towards the parent's; the root's are add-one.  A token is scored in the
-state of the longest suffix of its history that is retained.
+of 0 to DEPTH preceding words.  The tree grows from the root, one length of
+context after another.  A context is a candidate when it was seen LEAST_COUNT
+times in training, however large the corpus, its words without the last were a
+candidate and its words without the oldest (its parent) are a state.  It becomes
+a state when its next-symbol distribution diverges from its parent's: the
+Kullback-Leibler divergence times its count must reach BITS_PER_SYMBOL bits for
+each symbol it lists, which are those seen LEAST_PAIR times after it; the rest of
+its mass goes to the parent.  Distributions are smoothed towards the parent's;
+the root's are add-one.  A token is scored in the state of the longest suffix of
+its history, which is found by growing the suffix while it is a state.
 
 Counting is exact and covers all training documents, one pass for each length of
 context.  A pass counts sequences only after contexts that a bit filter of the
-admitted ones lets through (FILTER_BITS; a fuller filter passes more rows, never
-fewer); a join then leaves the admitted ones.
+candidates lets through (FILTER_BITS; a fuller filter passes more rows, never
+fewer); a join then leaves the candidates.  Sequences travel packed by context
+and are dealt out by the hash of the whole sequence, so a context that a third
+of the corpus follows goes to no single task; the number of tasks grows with the
+tokens (PART_TOKENS).
 
 The tree is a table of addends by key: what a state leaves to its parent, and
-what a listed symbol adds to that.  It grows with the corpus.  Tasks are sent the
-words with WORD_SHARE and the addends with PAIR_SHARE of the tokens (1 / WORD_SHARE
-words and 2 / PAIR_SHARE addends for each length of context at most); all others
-meet the documents in a join on their keys.  The shares change no result.
+what a listed symbol adds to that.  It grows with the corpus.  Tasks are sent its
+commonest HEAD_ADDENDS addends and HEAD_WORDS words, a memory bound; all others
+meet the documents in a join on their keys.  The bounds change no result.
 
 Defined results: a null or blank text is the end alone.  Null ids count as the
 empty text in the fold.  Repeated rows are scored each.  Without any training
@@ -30,6 +34,7 @@ an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -39,24 +44,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm.language_id import fold
-from statuta.llm.store import discard, materialise, release, table
+from statuta.llm.store import arrow_rows, discard, materialise, release, table
 from statuta.llm.textkit import U, hash_word, mix, text_slices, word_bounds, word_hashes
 
-DEPTH = 2
-WORD_SHARE = 5e-6
-PAIR_SHARE = 5e-7
+DEPTH = 4
 LEAST_COUNT = 16
-LEAST_PAIR = 2
+LEAST_PAIR = 4
 #: Bits of training text, per symbol it lists, that a context must save to be retained.
 BITS_PER_SYMBOL = 4.0
 #: Weight of the parent's distribution in a state's, in counts.
 PRIOR = 8.0
-_END_WORD = hash_word(b"\n")  # no word holds a line feed
-_STEP = U(0x9E6C63D0676A9A99)
-_STATE = U(0x5851F42D4C957F2D)  # tells the key of a state from that of its words as a sequence
+#: Entries of 16 bytes that tasks are sent of the tree and of the words.
+HEAD_ADDENDS, HEAD_WORDS = 1_500_000, 400_000
+#: Training tokens for each task that merges counts.
+PART_TOKENS = 4_000_000
+#: Tokens after which a task sends what it has counted.
+FLUSH = 1_000_000
+#: Rows of an Arrow batch: a worker holds whole batches of texts.
+BATCH_ROWS = 1000
 #: Bits of a filter by key, sent packed: 8 MB.
 FILTER_BITS = 1 << 26
 _CHUNK = 1 << 15
+_END_WORD = hash_word(b"\n")  # no word holds a line feed
+_STEP = U(0x9E6C63D0676A9A99)
+_STATE = U(0x5851F42D4C957F2D)  # tells the key of a state from that of its words as a sequence
+_ABSENT = np.iinfo(np.int64).max
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,20 +93,6 @@ def sequences(h: np.ndarray, row: np.ndarray, order: int) -> list[tuple[np.ndarr
     return out
 
 
-class Symbols:
-    """Numbers of the words that every task is sent; 0 is the class of all others."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
-        order = np.argsort(keys)
-        self.keys, self.counts, self.scale = keys[order], counts[order], tokens + distinct + 1
-        self.root = np.concatenate([[0.0], (self.counts + 1) / self.scale])
-        self.root[0] = max(1.0 - self.root.sum(), 1.0 / self.scale)
-
-    def number(self, h: np.ndarray) -> np.ndarray:
-        at, found = _find(self.keys, h)
-        return np.where(found, at + 1, 0)
-
-
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the sorted keys, whether it is there) of each wanted key."""
     if not len(keys):
@@ -104,48 +102,116 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[of], (keys[at] == one)[of]
 
 
-def _count(docs: DataFrame, keys_of, names: tuple[str, ...], most: int = 6_000_000) -> DataFrame:
-    """Distinct rows of the arrays that keys_of makes of a slice, by the first, with their number n."""
-    most //= 1 + len(names)
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, where each is found, the sum of n or the number)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n[order], first) if len(first) else n
+    return keys[first], order[first], total.astype(np.int64)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """key, n of each distinct token of the texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def merge() -> None:
-            nonlocal held, size
-            *keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held = []
-            order = np.argsort(keys[0], kind="stable")
-            key = keys[0][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            held = [[*(k[order[first]] for k in keys), np.add.reduceat(n[order], first) if len(first) else n]]
-            size = len(first)
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            *keys, n = held[0]
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, _, n = _summed(keys, n)
+            return keys, n
+
+        def rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(n), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([*(pa.array(k[part].view(np.int64)) for k in keys), pa.array(n[part])], names=[*names, "n"])
-            held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["key", "n"])
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                keys = keys_of(*token_hashes(data, offsets))
-                _, first, n = np.unique(keys[0], return_index=True, return_counts=True)
-                held.append([*(k[first] for k in keys), n.astype(np.int64)])
-                size += len(first)
-                if size > most:
-                    merge()
-                    if size > most * 2 // 3:
-                        yield from emit()
+                keys, _, n = _summed(token_hashes(data, offsets)[0])
+                held.append((keys, n))
+                size += len(keys)
+                if size > FLUSH:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > FLUSH * 2 // 3:
+                        yield from rows(*held[0])
+                        held, size = [], 0
         if held:
-            merge()
-            yield from emit()
+            yield from rows(*merged())
+
+    return docs.select("text").mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _pack(ctx: np.ndarray, shorter: np.ndarray, h: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts of sequences, in the order of their contexts, which are stored once each."""
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    sizes = np.diff(np.append(first, len(ctx))).astype(np.uint32)
+    return b"".join([np.array([len(first), len(h)], np.int64).tobytes(), ctx[first].tobytes(), shorter[first].tobytes(), h.tobytes(), sizes.tobytes(), n.astype(np.uint32).tobytes()])
+
 
-    schema = ", ".join(f"{x} long" for x in (*names, "n"))
-    return docs.select("text").mapInArrow(task, schema).groupBy(names[0]).agg(*(F.first(x).alias(x) for x in names[1:]), F.sum("n").alias("n"))
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    m, k = np.frombuffer(raw, np.int64, 2).tolist()
+    ctx, shorter = np.frombuffer(raw, U, m, 16), np.frombuffer(raw, U, m, 16 + 8 * m)
+    h, sizes = np.frombuffer(raw, U, k, 16 + 16 * m), np.frombuffer(raw, np.uint32, m, 16 + 16 * m + 8 * k)
+    n = np.frombuffer(raw, np.uint32, k, 16 + 20 * m + 8 * k)
+    return np.repeat(ctx, sizes), np.repeat(shorter, sizes), h, n
+
+
+def count_sequences(docs: DataFrame, order: int, candidates: DataFrame, parts: int) -> DataFrame:
+    """key, ctx, up, n of the sequences seen LEAST_PAIR times whose first `order` words may be a candidate.
+
+    up is the key of the sequence without its oldest word.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(candidates.select("ctx")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            ctx, shorter, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            keys, at, n = _summed(mix(ctx * _STEP + h))
+            part = (keys >> U(32)) * U(parts) >> U(32)
+            by = np.lexsort((ctx[at], part))
+            at, n, part = at[by], n[by], part[by]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+            blobs = [_pack(ctx[at[a:b]], shorter[at[a:b]], h[at[a:b]], n[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            return pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]].astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
+
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                h, row = token_hashes(data, offsets)
+                made = sequences(h, row, order)
+                at = np.flatnonzero(made[order][1])
+                at = at[_may_hold(sent.value, made[order - 1][0][at - 1])]
+                shorter = made[order - 2][0][at - 1] if order > 1 else np.zeros(len(at), U)
+                held.append((made[order - 1][0][at - 1], shorter, h[at]))
+                size += len(at)
+                if size > FLUSH:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
+        if not blobs:
+            return
+        ctx, shorter, h, n = (np.concatenate(x) for x in zip(*blobs, strict=True))
+        del blobs
+        keys, at, n = _summed(mix(ctx * _STEP + h), n)
+        often = n >= LEAST_PAIR
+        keys, at, n = keys[often], at[often], n[often]
+        up = mix(shorter[at] * _STEP + h[at]) if order > 1 else h[at]
+        for i in range(0, len(keys), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x[s].view(np.int64)) for x in (keys, ctx[at], up, n)], names=["key", "ctx", "up", "n"])
+
+    packed = docs.select("text").mapInArrow(counted, "part int, blob binary")
+    return packed.repartitionById(parts, "part").mapInArrow(merged, "key long, ctx long, up long, n long")
 
 
 def _bit(keys: np.ndarray) -> np.ndarray:
@@ -184,135 +250,156 @@ def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
 
 
-class SuffixTree:
-    """What tasks are sent of the tree: words, the commonest addends, and a filter of the others."""
-
-    def __init__(self, symbols: Symbols, keys: np.ndarray, values: np.ndarray, states: list[tuple[np.ndarray, np.ndarray]], others: np.ndarray):
-        """states: for contexts of one word and more, their keys and those of the contexts without the oldest word."""
-        order = np.argsort(keys)
-        self.symbols, self.keys, self.values, self.others = symbols, keys[order], values[order], others
-        self.log_root = np.log10(symbols.root)
-        self.states = [s for s, _ in states]
-        self.shorter = [dict(zip(s.tolist(), up.tolist(), strict=True)) for s, up in states]
-
-    def addend(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(addend, whether it is among those sent) of each key."""
-        at, found = _find(self.keys, keys)
-        out = np.zeros(len(keys))
-        out[found] = self.values[at[found]]
-        return out, found
-
-    def lookup(self, order: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 probability of symbols after contexts of `order` words that are states sent, as far as addends are sent."""
-        if order == 0:
-            return self.log_root[symbol]
-        h = np.concatenate([np.zeros(1, U), self.symbols.keys])[symbol]
-        own = self.addend(context ^ _STATE)[0] + np.where(symbol > 0, self.addend(mix(context * _STEP + h))[0], 0.0)
-        above = np.array([self.shorter[order - 1][c] for c in context.tolist()], U)
-        return own + self.lookup(order - 1, above, symbol)
+def grow(counts: DataFrame, candidates: DataFrame, lower: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(sequences that candidates list, states among the candidates).
 
-    def score(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What contexts add to each token's log10 probability, and (key, token) of the addends that a join must give."""
-        out, keys, tokens = np.zeros(len(h)), [], []
-        made = sequences(h, row, DEPTH)
-        for order in range(1, DEPTH + 1):
-            at = np.flatnonzero(made[order][1])
-            for before in (True, False):  # the state, then the symbol it lists: without the one there is no other
-                key = made[order - 1][0][at - 1] ^ _STATE if before else made[order][0][at]
-                value, found = self.addend(key)
-                out[at] += value
-                more = ~found
-                more[more] = _may_hold(self.others, key[more])
-                keys.append(key[more])
-                tokens.append(at[more])
-                at = at[found | more]
-        return out, np.concatenate(keys), np.concatenate(tokens)
-
-
-def grow(docs: DataFrame, order: int, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sequences that contexts of `order` words list, and the states among these contexts.
-
-    lower has the sequences of `order` words: key, up (the key without the oldest
-    word), n and log_p, the last word's log10 probability in its state.  A context's
-    count is that of its words as a sequence, since each word has a follower.
+    candidates: ctx, shorter (the context without its oldest word), total.  lower
+    has the sequences that are shorter by a word: key and log_p, the last word's
+    log10 probability in its state.
     """
-    spark = docs.sparkSession
-    contexts = lower.where(F.col("n") >= LEAST_COUNT).select(F.col("key").alias("ctx"), F.col("up").alias("shorter"), F.col("n").alias("total"))
-    sent = spark.sparkContext.broadcast(key_filter(contexts.select("ctx")))
-
-    def after_contexts(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
-        *_, (up, _), (key, ok) = sequences(h, row, order)
-        at = np.flatnonzero(ok)
-        at = at[_may_hold(sent.value, up[at - 1])]
-        return key[at], up[at - 1], up[at]
-
-    counts = _count(docs, after_contexts, ("key", "ctx", "up")).where(F.col("n") >= LEAST_PAIR)
-    counts = materialise(counts.join(contexts, "ctx"), "lm-sequences")
-    release(spark)
-    rows = materialise(counts.join(lower.select(F.col("key").alias("up"), F.col("log_p").alias("above")), "up"), "lm-listed")
-    discard(counts)
+    spark = counts.sparkSession
+    rows = counts.join(candidates, "ctx").join(lower.select(F.col("key").alias("up"), F.col("log_p").alias("above")), "up")
+    rows = materialise(rows, f"lm-listed-{order}")
     release(spark)
     sums = rows.groupBy("ctx").agg(F.first("total").alias("total"), F.first("shorter").alias("shorter"), F.sum("n").alias("shown"), F.count("*").alias("listed"), F.sum(F.pow(F.lit(10.0), "above")).alias("above_sum"))
     left = F.col("total") - F.col("shown") + PRIOR
     p = (F.col("n") + left * F.pow(F.lit(10.0), "above")) / (F.col("total") + PRIOR)
     saved = rows.select("ctx", "n", "above").join(sums.select("ctx", "total", "shown"), "ctx").withColumn("p", p)
-    saved = saved.groupBy("ctx").agg(F.sum("p").alias("p_sum"), F.sum(F.col("n") * (F.log2("p") - F.col("above") * float(np.log2(10)))).alias("gain"))
+    saved = saved.groupBy("ctx").agg(F.sum("p").alias("p_sum"), F.sum(F.col("n") * (F.log2("p") - F.col("above") * float(np.log2(10)))).alias("listed_gain"))
     least = F.lit(1e-12)
     rest_gain = (F.col("total") - F.col("shown")) * F.log2(F.greatest(1 - F.col("p_sum"), least) / F.greatest(1 - F.col("above_sum"), least))
-    kept = sums.join(saved, "ctx").where(F.col("gain") + rest_gain >= BITS_PER_SYMBOL * (F.col("listed") + 1))
-    states = materialise(kept.select("ctx", "shorter", "total", "shown", F.log10(left / (F.col("total") + PRIOR)).alias("rest")), "lm-states")
+    judged = sums.join(saved, "ctx").withColumn("gain", F.col("listed_gain") + rest_gain)
+    kept = judged.where(F.col("gain") >= BITS_PER_SYMBOL * (F.col("listed") + 1))
+    states = materialise(kept.select("ctx", "shorter", "total", "shown", "listed", "gain", F.log10(left / (F.col("total") + PRIOR)).alias("rest")), f"lm-states-{order}")
     log_p = F.when(F.col("rest").isNull(), F.col("above")).otherwise(F.log10(p))
-    named = rows.drop("total").join(states.drop("shorter"), "ctx", "left")
-    listed = materialise(named.select("key", "up", "n", log_p.alias("log_p"), (log_p - F.col("above") - F.col("rest")).alias("value")), "lm-tree")
+    named = rows.select("key", "ctx", "up", "n", "above").join(states.select("ctx", "total", "shown", "rest"), "ctx", "left")
+    listed = materialise(named.select("key", "up", "n", log_p.alias("log_p"), (log_p - F.col("above") - F.col("rest")).alias("value")), f"lm-tree-{order}")
     discard(rows)
     release(spark)
     return listed, states
 
 
-def train(docs: DataFrame) -> tuple[SuffixTree, DataFrame, int, int, DataFrame]:
-    """(tree, word counts, tokens, distinct tokens, addends that tasks are not sent) of all docs."""
+@dataclass
+class Model:
+    """words: key, n.  orders: for contexts of 1, 2, ... words, what grow() gives."""
+
+    words: DataFrame
+    tokens: int
+    distinct: int
+    orders: list[tuple[DataFrame, DataFrame]]
+
+    def addends(self) -> DataFrame | None:
+        """key, value, n of the tree."""
+        parts = []
+        for listed, states in self.orders:
+            parts.append(listed.where("value is not null").select("key", "value", "n"))
+            parts.append(states.select(F.col("ctx").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("key"), F.col("rest").alias("value"), F.col("total").alias("n")))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def report(self) -> DataFrame:
+        """length, states, listed symbols and bits saved, for each length of context."""
+        rows = [s.agg(F.lit(k).alias("length"), F.count("*").alias("states"), F.sum("listed").alias("listed"), F.sum("gain").alias("bits")) for k, (_, s) in enumerate(self.orders, 1)]
+        return reduce(DataFrame.unionByName, rows) if rows else self.words.limit(0).selectExpr("0 as length", "n as states", "n as listed", "0.0 as bits")
+
+
+def train(docs: DataFrame, depth: int = DEPTH) -> Model:
+    """The tree of all docs (text)."""
     spark = docs.sparkSession
-    words = materialise(_count(docs, lambda h, _: (h,), ("key",)), "lm-words")
-    release(spark)
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = words.where(F.col("n") >= F.lit(WORD_SHARE * tokens)).toArrow()  # 1 / WORD_SHARE rows at most
-    symbols = Symbols(common["key"].to_numpy().view(U), common["n"].to_numpy(), tokens, distinct)
-    lower = words.select("key", F.lit(0).cast("long").alias("up"), "n", F.log10((F.col("n") + 1) / F.lit(float(symbols.scale))).alias("log_p"))
-    addends, states = [], []
-    share = F.lit(PAIR_SHARE * tokens)
-    for order in range(1, DEPTH + 1):
-        lower, found = grow(docs, order, lower)
-        addends += [lower.where("value is not null").select("key", "value", "n"), found.select(F.col("ctx").bitwiseXOR(F.lit(int(_STATE.view(np.int64)))).alias("key"), F.col("rest").alias("value"), F.col("total").alias("n"))]
-        frequent = found.where(F.col("total") >= share).select("ctx", "shorter").toArrow()
-        states.append((frequent["ctx"].to_numpy().view(U), frequent["shorter"].to_numpy().view(U)))
-    model = reduce(DataFrame.unionByName, addends)
-    head = model.where(F.col("n") >= share).toArrow()  # 2 / PAIR_SHARE rows for each order at most
-    others = model.where(F.col("n") < share).select("key", "value")
-    tree = SuffixTree(symbols, head["key"].to_numpy().view(U), head["value"].to_numpy(), states, key_filter(others.select("key")))
-    return tree, words, tokens, distinct, others
+    with arrow_rows(spark, BATCH_ROWS):
+        words = materialise(count_words(docs), "lm-words")
+        release(spark)
+        tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
+        lower = words.select("key", F.log10((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("log_p"))
+        candidates = words.where(F.col("n") >= LEAST_COUNT).select(F.col("key").alias("ctx"), F.lit(0).cast("long").alias("shorter"), F.col("n").alias("total"))
+        orders = []
+        for order in range(1, depth + 1):
+            candidates = materialise(candidates, f"lm-candidates-{order}")
+            if candidates.isEmpty():
+                break
+            listed, states = grow(count_sequences(docs, order, candidates, parts), candidates, lower, order)
+            discard(candidates)
+            orders.append((listed, states))
+            # a candidate's count is that of its words as a sequence, since each word has a follower
+            candidates = listed.where(F.col("n") >= LEAST_COUNT).join(states.select(F.col("ctx").alias("up")), "up", "left_semi").select(F.col("key").alias("ctx"), F.col("up").alias("shorter"), F.col("n").alias("total"))
+            lower = listed.select("key", "log_p")
+    return Model(words, tokens, distinct, orders)
+
+
+def head_and_others(entries: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
+    """(the `most` commonest entries at most, as a table; all others), by their column n."""
+    step = F.floor(F.log2("n") * 4)
+    sizes = sorted(((r.step, r.size) for r in entries.groupBy(step.alias("step")).agg(F.count("*").alias("size")).collect()), reverse=True)  # a row for each fourth of a power of two
+    least, held = _ABSENT, 0
+    for k, size in sizes:
+        held += size
+        if held > most:
+            break
+        least = k
+    return entries.where(step >= least).toArrow(), entries.where(step < least)
+
+
+class Head:
+    """What tasks are sent: the commonest words and addends, and filters of the others."""
+
+    def __init__(self, words: pa.Table, addends: pa.Table | None, scale: int, other_words: np.ndarray | None, other_addends: np.ndarray | None):
+        keys, n = words["key"].to_numpy().view(U), words["n"].to_numpy()
+        order = np.argsort(keys)
+        self.words, self.log_p = keys[order], np.log10((n[order] + 1) / scale)
+        keys, values = (addends["key"].to_numpy().view(U), addends["value"].to_numpy()) if addends is not None else (np.zeros(0, U), np.zeros(0))
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.other_words, self.other_addends = other_words, other_addends
+
+    def roots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability at the root, whether the word is sent) of each token."""
+        at, found = _find(self.words, h)
+        out = np.zeros(len(h))
+        out[found] = self.log_p[at[found]]
+        return out, found
+
+    def added(self, h: np.ndarray, row: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What contexts add to each token's log10 probability, and (key, token) of the addends that a join must give."""
+        out, keys, tokens = np.zeros(len(h)), [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        made = sequences(h, row, depth)
+        at = np.arange(len(h))
+        for order in range(1, depth + 1):
+            at = at[made[order][1][at]]
+            deeper = at[:0]
+            for before in (True, False):  # the state, then the symbol it lists: without the one there is no other
+                key = made[order - 1][0][at - 1] ^ _STATE if before else made[order][0][at]
+                place, found = _find(self.keys, key)
+                out[at[found]] += self.values[place[found]]
+                more = ~found
+                more[more] = _may_hold(self.other_addends, key[more]) if self.other_addends is not None else False
+                keys.append(key[more])
+                tokens.append(at[more])
+                at = at[found | more]
+                deeper = at if before else deeper
+            at = deeper  # a longer suffix is a state only if this one is
+        return out, np.concatenate(keys), np.concatenate(tokens)
 
 
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_rare long, rare array<long>"
 
 
-def score_pass(docs: DataFrame, tree: SuffixTree) -> DataFrame:
+def score_pass(docs: DataFrame, head: Head, depth: int) -> DataFrame:
     """The scores of each row as far as tasks know them, and the keys of its other words and addends."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
+        head = sent.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, rows, data, offsets in text_slices(batch.column(2)):
                 h, row = token_hashes(data, offsets)
-                symbol = tree.symbols.number(h)
-                known = symbol > 0
+                base, known = head.roots(h)
                 rare = np.flatnonzero(~known)
-                base = np.where(known, tree.log_root[symbol], 0.0)
-                added, keys, tokens = tree.score(h, row)
-                of = np.concatenate([row[rare], row[tokens]])
+                added, keys, tokens = head.added(h, row, depth)
+                asked = rare[_may_hold(head.other_words, h[rare])] if head.other_words is not None else rare[:0]
+                of = np.concatenate([row[asked], row[tokens]])
                 order = np.argsort(of, kind="stable")
-                of, keys = of[order], np.concatenate([h[rare], keys])[order]
+                of, keys = of[order], np.concatenate([h[asked], keys])[order]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(uid, uid + rows)), batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(np.bincount(row, minlength=rows)),
@@ -326,25 +413,34 @@ def score_pass(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(task, SCORED)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, head_words: int = HEAD_WORDS, head_addends: int = HEAD_ADDENDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, 7) == 2).alias("held_out"), F.col(text_col).alias("text"))
-    tree, words, tokens, distinct, addends = train(rows.where(~F.col("held_out")))
-    scored = materialise(score_pass(rows, tree), "lm-scored")
-    release(docs.sparkSession)
-    others = words.where(F.col("n") < F.lit(WORD_SHARE * tokens)).select("key", F.lit(1).alias("word"), F.log10(F.col("n") + 1.0).alias("value"))
-    others = others.unionByName(addends.select("key", F.lit(0).alias("word"), "value"))
+    spark = rows.sparkSession
+    model = train(rows.where(~F.col("held_out")), depth)
+    words, other_words = head_and_others(model.words, head_words)
+    others = other_words.select("key", F.lit(1).alias("word"), F.log10(F.col("n") + 1.0).alias("value"))
+    addends = found = None
+    tree = model.addends()
+    if tree is not None:
+        addends, found = head_and_others(tree, head_addends)
+        others = others.unionByName(found.select("key", F.lit(0).alias("word"), "value"))
+        found = None if found.isEmpty() else key_filter(found.select("key"))
+    scale = model.tokens + model.distinct + 1
+    head = Head(words, addends, scale, None if other_words.isEmpty() else key_filter(other_words.select("key")), found)
+    with arrow_rows(spark, BATCH_ROWS):
+        scored = materialise(score_pass(rows, head, depth), "lm-scored")
+    release(spark)
     more = scored.select("uid", F.explode("rare").alias("key")).join(others, "key").groupBy("uid").agg(
         F.sum("word").alias("more"), F.sum(F.when(F.col("word") == 1, F.col("value"))).alias("logs"), F.sum(F.when(F.col("word") == 0, F.col("value"))).alias("added")
     )
-    scale = F.log10(F.lit(float(tokens + distinct + 1)))
-    in_class = F.coalesce("logs", F.lit(0.0)) - F.col("n_rare") * scale
+    in_class = F.coalesce("logs", F.lit(0.0)) - F.col("n_rare") * F.log10(F.lit(float(scale)))
     return scored.join(more, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + in_class).alias("base_score"),
         (F.col("score") + in_class + F.coalesce("added", F.lit(0.0))).alias("score"),
     )

@@ -17,25 +17,24 @@ U = np.uint64
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _PINV = pow(_P, -1, 1 << 64)
 _SHINGLE = [0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3]
-#: Bytes of text that one kernel call handles; a longer document is handled alone.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that one kernel call handles; a longer document is handled alone, in pieces of this size.
+SLICE_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_pow = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+_pow: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _P and of its inverse, kept for the next call."""
-    if len(_pow[0]) < n:
-        size = max(n, SLICE_BYTES)
-        for k, base in enumerate((_P, _PINV)):
-            p = np.full(size, base, dtype=U)
+    """The first n (SLICE_BYTES + 1 at most) powers of _P and of its inverse, kept for the next call."""
+    if not _pow:
+        for base in (_P, _PINV):
+            p = np.full(SLICE_BYTES + 1, base, dtype=U)
             p[0] = 1
-            _pow[k] = np.multiply.accumulate(p)
+            _pow.append(np.multiply.accumulate(p))
     return _pow[0][:n], _pow[1][:n]
 
 
@@ -71,32 +70,50 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of every word of the rows, in order."""
-    if not len(data):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    solid = ~SPACE[data]
-    first = np.zeros(len(data) + 1, dtype=bool)
-    first[offsets] = True
-    before = np.empty(len(data), dtype=bool)
-    before[0] = False
-    before[1:] = solid[:-1]
-    start = np.flatnonzero(solid & (~before | first[:-1]))
-    after = np.empty(len(data), dtype=bool)
-    after[-1] = False
-    after[:-1] = solid[1:]
-    end = np.flatnonzero(solid & (~after | first[1:])) + 1
-    row = np.searchsorted(offsets, start, side="right") - 1
-    return start, end, row
+    n, starts, ends, solid_before = len(data), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    for a in range(0, n, SLICE_BYTES):
+        b = min(a + SLICE_BYTES, n)
+        solid = ~SPACE[data[a:b]]
+        edge = np.zeros(b - a + 1, dtype=bool)  # where a row begins
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a] = True
+        before = np.concatenate([[solid_before], solid[:-1]])
+        after = np.concatenate([solid[1:], [b < n and not SPACE[data[b]]]])
+        starts.append(np.flatnonzero(solid & (~before | edge[:-1])) + a)
+        ends.append(np.flatnonzero(solid & (~after | edge[1:])) + a + 1)
+        solid_before = solid[-1]
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word [start, end)."""
-    if not len(start):
-        return np.zeros(0, U)
-    p, inv = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((LOWER[data].astype(U) + U(1)) * p[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inv[start])
+    """A 64-bit hash of each lower-cased word [start, end), which are in order."""
+    out = np.empty(len(start), dtype=U)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(end, a + SLICE_BYTES, side="right"))
+        if j <= i:
+            out[i] = _long_word(data[a : end[i]])
+            i += 1
+            continue
+        piece = data[a : end[j - 1]]
+        p, inv = _powers(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, dtype=U)
+        np.cumsum((LOWER[piece].astype(U) + U(1)) * p[:-1], out=total[1:])
+        out[i:j] = (total[end[i:j] - a] - total[start[i:j] - a]) * inv[start[i:j] - a]
+        i = j
+    return mix(out)
+
+
+def _long_word(word: np.ndarray) -> int:
+    """The unmixed hash of a word longer than a slice."""
+    total, scale, step = 0, 1, pow(_P, SLICE_BYTES, 1 << 64)
+    p, _ = _powers(SLICE_BYTES)
+    for a in range(0, len(word), SLICE_BYTES):
+        piece = word[a : a + SLICE_BYTES]
+        total += int(np.sum((LOWER[piece].astype(U) + U(1)) * p[: len(piece)], dtype=U)) * scale
+        scale = scale * step % (1 << 64)
+    return total % (1 << 64)
 
 
 def hash_word(word: bytes) -> int:

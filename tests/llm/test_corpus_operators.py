@@ -86,24 +86,19 @@ def test_suffix_tree(spark, tables):
 
 
 def test_suffix_tree_sums_to_one_and_beats_words_alone(spark):
-    import numpy as np
-
-    from statuta.llm.suffix_tree_lm import score_documents, train
+    from statuta.llm.suffix_tree_lm import score_documents
 
     rng = random.Random(1)
-    texts = []
+    rows = []
     for k in range(400):
         bag = ["red", "green", "blue", "sky"] if k % 2 else ["one", "two", "three", "four"]
-        texts.append(" ".join(rng.choice(bag) for _ in range(40)))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    scored = [r for r in score_documents(docs).collect() if r.held_out]
+        rows.append((k, " ".join(rng.choice(bag) for _ in range(40))))
+    scored = [r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     assert sum(r.score for r in scored) > sum(r.base_score for r in scored) + len(scored)
-    tree, *_ = train(docs)
-    every = np.arange(len(tree.symbols.root))
-    for order in (1, 2):
-        for state in tree.states[order - 1]:
-            assert abs((10 ** tree.lookup(order, np.full(len(every), state), every)).sum() - 1) < 0.02
-    assert len(tree.states[0])
+    _, states, prob, words = suffix_tree_scores(rows)
+    assert states
+    for ctx in states:
+        assert abs(sum(prob(ctx, w) for w in words) + prob(ctx, b"never seen") - 1) < 1e-9
 
 
 def sets(text, k=5):
@@ -299,61 +294,88 @@ def test_pipeline(spark, tables):
 
 
 def suffix_tree_scores(rows):
-    """Scores by the tree written out in plain Python: counts, the divergence test, longest retained suffix."""
-    from statuta.llm.suffix_tree_lm import BITS_PER_SYMBOL, LEAST_COUNT, LEAST_PAIR, PRIOR
+    """(scores, states, probability of a word after words, words) by the tree written out in plain Python."""
+    from statuta.llm.suffix_tree_lm import BITS_PER_SYMBOL, DEPTH, LEAST_COUNT, LEAST_PAIR, PRIOR
 
     train = [tokens(t) + [b"\n"] for d, t in rows if id_fold(d, 7) != 2]
     c = Counter(itertools.chain(*train))
     n, v = sum(c.values()), len(c)
-    after, states = {}, {}
-    for t in train:
-        for i in range(len(t)):
-            for order in (1, 2):
-                if i >= order:
-                    after.setdefault(tuple(t[i - order : i]), Counter())[t[i]] += 1
-
-    def prob(ctx, w):
-        if not ctx:
-            return (c[w] + 1) / (n + v + 1)
-        if ctx not in states:
-            return prob(ctx[1:], w)
-        listed, rest = states[ctx]
-        return listed[w] if w in listed else rest * prob(ctx[1:], w)
-
-    for ctx in sorted(after, key=len):
-        total, listed = sum(after[ctx].values()), {w: k for w, k in after[ctx].items() if k >= LEAST_PAIR}
-        if total < LEAST_COUNT or not listed:
-            continue
-        left = total - sum(listed.values()) + PRIOR
-        above = {w: prob(ctx[1:], w) for w in listed}
-        p = {w: (k + left * above[w]) / (total + PRIOR) for w, k in listed.items()}
-        gain = sum(k * math.log2(p[w] / above[w]) for w, k in listed.items())
-        gain += (left - PRIOR) * math.log2(max(1 - sum(p.values()), 1e-12) / max(1 - sum(above.values()), 1e-12))
-        if gain >= BITS_PER_SYMBOL * (len(listed) + 1):
-            states[ctx] = p, left / (total + PRIOR)
+    states = {}
+
+    def prob(words, w):
+        p = (c[w] + 1) / (n + v + 1)
+        for k in range(1, DEPTH + 1):
+            if k > len(words) or tuple(words[-k:]) not in states:
+                return p
+            listed, rest = states[tuple(words[-k:])]
+            p = listed[w] if w in listed else rest * p
+        return p
+
+    candidates = {(w,): k for w, k in c.items() if k >= LEAST_COUNT}
+    for order in range(1, DEPTH + 1):
+        after = {ctx: Counter() for ctx in candidates}
+        for t in train:
+            for i in range(order, len(t)):
+                if (ctx := tuple(t[i - order : i])) in after:
+                    after[ctx][t[i]] += 1
+        found = {}
+        for ctx, total in candidates.items():
+            listed = {w: k for w, k in after[ctx].items() if k >= LEAST_PAIR}
+            if not listed:
+                continue
+            left = total - sum(listed.values()) + PRIOR
+            above = {w: prob(ctx[1:], w) for w in listed}
+            p = {w: (k + left * above[w]) / (total + PRIOR) for w, k in listed.items()}
+            gain = sum(k * math.log2(p[w] / above[w]) for w, k in listed.items())
+            gain += (left - PRIOR) * math.log2(max(1 - sum(p.values()), 1e-12) / max(1 - sum(above.values()), 1e-12))
+            if gain >= BITS_PER_SYMBOL * (len(listed) + 1):
+                found[ctx] = p, left / (total + PRIOR)
+        states |= found
+        candidates = {(*ctx, w): k for ctx in candidates for w, k in after[ctx].items() if k >= LEAST_COUNT and (*ctx[1:], w) in found}
     out = Counter()
     for d, t in rows:
         t = tokens(t) + [b"\n"]
-        out[d, round(sum(math.log10(prob(tuple(t[max(i - 2, 0) : i]), w)) for i, w in enumerate(t)), 4)] += 1
-    return out, states
+        out[d, round(sum(math.log10(prob(t[max(i - DEPTH, 0) : i], w)) for i, w in enumerate(t)), 4)] += 1
+    return out, states, prob, set(c)
 
 
 @pytest.mark.parametrize("sent", [True, False])
 def test_suffix_tree_keeps_its_contexts_as_the_corpus_grows(spark, monkeypatch, sent):
-    """A context of a few dozen occurrences among half a million tokens or more is a state, sent to tasks or joined."""
+    """Contexts of any length and a few dozen occurrences among half a million tokens are states, sent to tasks or joined."""
     from statuta.llm import suffix_tree_lm
 
-    if not sent:
-        monkeypatch.setattr(suffix_tree_lm, "PAIR_SHARE", 1.0)
-        monkeypatch.setattr(suffix_tree_lm, "WORD_SHARE", 1.0)
+    monkeypatch.setattr(suffix_tree_lm, "FLUSH", 2000)
     rng = random.Random(3)
-    rows = [(k, " ".join(rng.choice(["red sky above", "old sea below", f"u{k}"]) for _ in range(10))) for k in range(12)]
-    rows += [(100 + k, " ".join(f"w{k}x{i}" for i in range(150_000))) for k in range(5)]
+    rows = [(k, " ".join(rng.choice(["red sky above", "old sea below", f"u{k}", "a m n o r1", "b m n o r2", "c k n o r3", "d j h o r4"]) for _ in range(40))) for k in range(24)]
+    rows += [(100 + k, " ".join(f"w{k}x{i}" for i in range(100_000))) for k in range(5)]
     rows += [(None, "red sky above"), (300, None)]
-    want, states = suffix_tree_scores(rows)
-    assert (b"red",) in states and any(len(s) == 2 for s in states)
+    want, states, *_ = suffix_tree_scores(rows)
+    assert (b"red",) in states and {len(s) for s in states} == {1, 2, 3, 4}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert Counter((r.doc_id, round(r.score, 4)) for r in suffix_tree_lm.score_documents(docs).collect()) == want
+    few = {} if sent else {"head_words": 0, "head_addends": 0}
+    assert Counter((r.doc_id, round(r.score, 4)) for r in suffix_tree_lm.score_documents(docs, **few).collect()) == want
+
+
+def test_kernels_on_a_text_longer_than_a_slice(monkeypatch):
+    """The pieces of a long text give the words and hashes of the whole."""
+    import numpy as np
+
+    from statuta.llm import textkit
+
+    rng = random.Random(2)
+    raw = b"".join(rng.choice([b" ", b"\n", b"ab", b"\xc3\xa9", b"Q" * 70, b"x"]) for _ in range(4000))
+    offsets = np.array([0, 0, 500, 501, 9000, len(raw), len(raw)])
+    data = np.frombuffer(raw, np.uint8)
+    whole = textkit.word_bounds(data, offsets)
+    want = [(m.start() + a, m.end() + a, k) for k, (a, b) in enumerate(itertools.pairwise(offsets.tolist())) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw[a:b])]
+    assert list(zip(*(x.tolist() for x in whole), strict=True)) == want
+    hashes = textkit.word_hashes(data, *whole[:2])
+    monkeypatch.setattr(textkit, "SLICE_BYTES", 64)
+    monkeypatch.setattr(textkit, "_pow", [])
+    cut = textkit.word_bounds(data, offsets)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+    assert (textkit.word_hashes(data, *cut[:2]) == hashes).all()
+    monkeypatch.setattr(textkit, "_pow", [])
 
 
 def test_decontamination_does_not_depend_on_case(spark):
