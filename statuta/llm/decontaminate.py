@@ -21,9 +21,10 @@ windows number at most FILTER_WINDOWS (counted first); beyond that every window
 goes to the join, which gives the same rows.
 
 Defined results: a null or blank text or item matches nothing; items of fewer
-than MIN_TOKENS template tokens are matched word for word only; rows that repeat an id are
-one document; an empty table on either side gives an empty result.  Extra
-columns are ignored by the search and kept by drop_contaminated().
+than MIN_TOKENS template tokens are matched word for word only; rows that repeat an id with
+other texts, or have none, are documents of their own, rows that repeat id and text are one; an
+empty table on either side gives an empty result.  Extra columns are ignored by the search and
+kept by drop_contaminated(), which drops rows by their own text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm.store import materialise, table
+from statuta.llm.store import materialise, row_key, table
 from statuta.llm.textkit import LOWER, SPACE, U, hash_word, mix, text_slices, word_bounds, word_hashes
 
 WINDOW = 8
@@ -154,16 +155,16 @@ def windows(h: np.ndarray, slot: np.ndarray, row: np.ndarray, width: int) -> tup
 
 
 VIEWS = (0, 1, 2)
-WINDOWS = "id long, position long, view int, width int, tokens long, key long, slots array<string>"
+WINDOWS = "id long, doc long, position long, view int, width int, tokens long, key long, slots array<string>"
 
 
-def template_windows(texts: DataFrame, id_col: str, text_col: str, searched: list[tuple[int, int]] | None = None, known: np.ndarray | None = None) -> DataFrame:
-    """Windows of texts in the views and widths to search; without these, those by which items are searched."""
+def template_windows(texts: DataFrame, searched: list[tuple[int, int]] | None = None, known: np.ndarray | None = None) -> DataFrame:
+    """Windows of texts (id, doc, text) in the views and widths to search; without these, those by which items are searched."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for at, rows, data, offsets in text_slices(batch.column(1)):
+            ids, docs = batch.column(0), batch.column(1)
+            for at, rows, data, offsets in text_slices(batch.column(2)):
                 made = template(data, offsets)
                 row = made.row
                 counts = np.bincount(row, minlength=rows)
@@ -189,6 +190,7 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, searched: lis
                     slots = [[made.value(t) for t in range(f, f + width) if slot[t]] for f in first.tolist()]
                     yield pa.RecordBatch.from_pydict({
                         "id": ids.take(pa.array(at + row[first])),
+                        "doc": docs.take(pa.array(at + row[first])),
                         "position": pa.array(first - firsts[row[first]], pa.int64()),
                         "view": pa.array(np.full(len(first), view), pa.int32()),
                         "width": pa.array(np.full(len(first), width), pa.int32()),
@@ -197,47 +199,55 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, searched: lis
                         "slots": pa.array(slots, pa.list_(pa.string())),
                     })
 
-    return texts.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, WINDOWS)
+    return texts.mapInArrow(task, WINDOWS)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
-    """doc_id, item_id, matched and total windows, and whether slot values are the item's own."""
-    bench = materialise(template_windows(items, item_col, item_text), "bench-windows")
+def found_in_rows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, coverage: float, filter_windows: int) -> DataFrame:
+    """key (of id and text), doc_id, item_id, matched and total windows, and whether slot values are the item's own."""
+    item = F.col(item_col).cast("long")
+    bench = materialise(template_windows(items.select(item.alias("id"), item.alias("doc"), F.col(item_text).alias("text"))), "bench-windows").drop("doc")
     searched = sorted((r.view, r.width) for r in bench.select("view", "width").distinct().collect())
     known = None
     if bench.count() <= filter_windows:
-        known = np.unique(np.array([r.key for r in bench.select("key").distinct().collect()], dtype=np.int64).view(U))
-    found = template_windows(docs, id_col, text_col, searched or [(0, WINDOW)], known)
+        known = np.unique(bench.select("key").toArrow()["key"].to_numpy().view(U))  # filter_windows of 8 bytes at most
+    texts = docs.select(row_key(docs, id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    found = template_windows(texts, searched or [(0, WINDOW)], known)
     totals = bench.groupBy("id").agg(F.count_distinct("position").alias("item_windows"), *_of_views(lambda k: F.count_distinct(F.when(F.col("view") == k, F.col("position"))), "total"))
-    items_side = bench.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "view", "key", F.col("slots").alias("item_slots"))
-    pairs = found.drop("view").join(items_side, "key").select(
-        "view", F.col("id").alias("doc_id"), "item_id", "item_position", (F.col("position") - F.col("item_position")).alias("distance"),
+    items_side = bench.select(F.col("id").alias("item_id"), F.col("position").alias("item_position"), "view", F.col("key").alias("window"), F.col("slots").alias("item_slots"))
+    pairs = found.drop("view").join(items_side, F.col("key") == F.col("window")).select(
+        "view", F.col("id").alias("key"), "doc", "item_id", "item_position", (F.col("position") - F.col("item_position")).alias("distance"),
         F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("values"),
     )
-    lines = pairs.groupBy("doc_id", "item_id", "distance", "view").agg(F.collect_set("item_position").alias("positions"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
+    lines = pairs.groupBy("key", "doc", "item_id", "distance", "view").agg(F.collect_set("item_position").alias("positions"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
     one_value = F.size(F.array_distinct(F.transform("values", lambda v: v["a"]))) == F.size("values")
     same = F.forall("values", lambda v: v["a"].eqNullSafe(v["b"]))
-    agreeing = lines.where(one_value).select("doc_id", "item_id", "view", "positions", same.alias("same"))
+    agreeing = lines.where(one_value).select("key", "doc", "item_id", "view", "positions", same.alias("same"))
     matched = lambda positions: F.size(F.array_distinct(F.flatten(F.collect_set(positions)))).cast("long")
-    by_pair = agreeing.groupBy("doc_id", "item_id").agg(
+    by_pair = agreeing.groupBy("key", "doc", "item_id").agg(
         matched(F.col("positions")).alias("matched_windows"), F.bool_and("same").alias("same_values"), *_of_views(lambda k: matched(F.when(F.col("view") == k, F.col("positions"))), "matched")
     )
     enough = [(F.col(f"matched{k}") > 0) & (F.col(f"matched{k}") >= F.col(f"total{k}") * coverage) for k in VIEWS[:2]]
     return (
-        by_pair.join(totals, by_pair.item_id == totals.id)
+        by_pair.join(totals, by_pair.item_id.eqNullSafe(totals.id))
         .where(reduce(Column.__or__, enough, F.col("matched_windows") >= F.col("item_windows") * coverage))
-        .select("doc_id", "item_id", "matched_windows", "item_windows", "same_values")
+        .select("key", F.col("doc").alias("doc_id"), "item_id", "matched_windows", "item_windows", "same_values")
     )
 
 
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
+    """doc_id, item_id, matched and total windows, and whether slot values are the item's own."""
+    return found_in_rows(docs, items, id_col, text_col, item_col, item_text, coverage, filter_windows).drop("key")
+
+
 def _of_views(made: Callable[[int], Column], name: str) -> list[Column]:
     return [made(k).alias(f"{name}{k}") for k in VIEWS]
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    hits = find_contamination(docs, items).select(F.col("doc_id").alias("hit_doc_id")).distinct()
-    return docs.join(hits, F.col("doc_id") == F.col("hit_doc_id"), "left_anti")
+    """docs without the rows whose text holds a benchmark item."""
+    hits = found_in_rows(docs, items, "doc_id", "text", "item_id", "text", COVERAGE, FILTER_WINDOWS).select(F.col("key").alias("hit")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), row_key(docs).alias("key"))  # no name of docs can clash
+    return rows.join(hits, F.col("key") == F.col("hit"), "left_anti").select("row.*")
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,18 @@ softmax layer maps the responses to languages.  A text is cut into windows that
 cover all its bytes; its prediction is the mean of the windows' probabilities,
 weighted by their bytes.
 
-The network is fitted on the driver from windows of at most about ROWS_PER_LANG
-training rows of each language (rows are drawn by a hash of the id, in
-proportion), so its cost does not grow with the corpus.  Scoring is one pass
-over the documents without a shuffle.
+The network is fitted on the driver from windows of about ROWS_PER_LANG training
+rows of each of the MOST_LANGS commonest languages (rows are drawn by a hash of
+id and text, in proportion; MOST_WINDOWS windows in all at most, the first by
+that hash), so its cost does not grow with the corpus.  Scoring is one pass over
+the documents without a shuffle.
 
 Defined results: `und` with score 0.0 for a text that is null or has no letter,
 and for every text when no labelled row can be learned from; rows with a null
 language are never learned from; a null id counts as the empty text in the fold.
 Repeated rows are scored alike.  An empty table gives an empty result.
+keep_known_language() keeps whole rows, each by its own text: null ids, repeated
+ids and repeated rows make no difference, and other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from statuta.llm.textkit import LOWER, text_slices
 #: Labelled rows of one language that the fit uses, about; windows of each.
 ROWS_PER_LANG = 600
 WINDOWS_PER_ROW = 2
+#: Languages that the network tells apart, the commonest ones, and windows in all: bounds of the fit.
+MOST_LANGS, MOST_WINDOWS = 64, 20_000
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -178,32 +183,50 @@ def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
-    """(lang, window) of about rows_per_lang rows of each language."""
+    """(place, lang, window) of about rows_per_lang rows of each of the commonest languages."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
-    counts = known.groupBy(F.col(lang_col).alias("of")).agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < F.lit(float(rows_per_lang) * (1 << 30)) / F.col("n")
-    drawn = known.join(F.broadcast(counts), F.col(lang_col) == F.col("of")).where(draw)
+    counts = known.groupBy(F.col(lang_col).alias("of")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "of").limit(MOST_LANGS).collect()
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.of, min(1.0, rows_per_lang / r.n))]) if counts else F.create_map().cast("map<string,double>")
+    drawn = known.where(place < F.try_element_at(share, F.col(lang_col)) * float(1 << 30))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, windows = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            places, langs, windows = [], [], []
+            for place, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_py().encode()
                 rng = np.random.default_rng(len(raw))
                 for s in rng.integers(0, max(1, len(raw) - WINDOW + 1), WINDOWS_PER_ROW):
+                    places.append(place)
                     langs.append(lang)
                     windows.append(raw[s : s + WINDOW])
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "window": pa.array(windows, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"place": pa.array(places, pa.int64()), "lang": pa.array(langs, pa.string()), "window": pa.array(windows, pa.binary())})
 
-    return drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(cut, "lang string, window binary")
+    return drawn.select(place.alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(cut, "place long, lang string, window binary")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteConvNet | None:
     """The network learned from labelled rows; None without any."""
-    rows = sorted((r.lang, bytes(r.window)) for r in training_windows(docs, id_col, text_col, lang_col).collect())
+    drawn = training_windows(docs, id_col, text_col, lang_col).orderBy("place", "lang", "window").limit(MOST_WINDOWS)
+    rows = sorted((r.lang, bytes(r.window)) for r in drawn.collect())
     return ByteConvNet.train([w for _, w in rows], [lang for lang, _ in rows]) if rows else None
 
 
+def told(net: ByteConvNet | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    langs: list[str] = []
+    scores: list[float] = []
+    for _, rows, data, offsets in text_slices(texts):
+        if net is None:
+            langs += ["und"] * rows
+            scores += [0.0] * rows
+            continue
+        p, ok = net.score_slice(data, offsets), has_letters(data, offsets)
+        langs += [net.langs[b] if k else "und" for b, k in zip(p.argmax(1), ok, strict=True)]
+        scores += np.where(ok, np.clip(p.max(1), 0, 1), 0.0).tolist()
+    return langs, scores
+
+
 def predict(docs: DataFrame, net: ByteConvNet | None, text_col: str, keep: list[Column]) -> DataFrame:
     """keep, lang_pred and score of every row of docs."""
     chosen = docs.select(F.col(text_col).alias("scored_text"), *keep)
@@ -211,17 +234,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, text_col: str, keep: list[
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs: list[str] = []
-            scores: list[float] = []
-            for _, rows, data, offsets in text_slices(batch.column(0)):
-                if net is None:
-                    langs += ["und"] * rows
-                    scores += [0.0] * rows
-                    continue
-                p, ok = net.score_slice(data, offsets), has_letters(data, offsets)
-                best = p.argmax(1)
-                langs += [net.langs[b] if k else "und" for b, k in zip(best, ok, strict=True)]
-                scores += np.where(ok, np.clip(p.max(1), 0, 1), 0.0).tolist()
+            langs, scores = told(net, batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     return chosen.mapInArrow(task, schema)
@@ -239,10 +252,16 @@ def op5_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """The rows of docs whose language is recognised; all columns stay."""
+    """The rows of docs whose language is recognised; all columns stay.  Each text is sent once."""
     net = fit(docs.where(fold("doc_id", 4) != 2))
-    scored = predict(docs, net, "text", [F.struct("*").alias("kept_row")])  # no clash with the columns of docs
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("kept_row.*")
+    place = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = told(net, batch.column(place))
+            yield batch.filter(pa.array([lang != "und" and s >= least_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
 
 
 QUERIES = {"op5_byte_convnet": op5_byte_convnet}

@@ -17,7 +17,8 @@ Defined results: lines are cut at \\n; a blank line is never dropped and counts
 as a line; a null text has no lines, stays null and loses nothing.  Rows that
 repeat an id and text are one document to the counts and are cleaned alike;
 rows of one id with other texts are other documents.  An empty table gives an
-empty result.  Other columns of docs stay as they are.
+empty result.  Other columns of docs stay as they are, but for one named n_lines
+or n_dropped, which the operator's own replaces.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         F.array_join(F.filter(all_lines, lambda x, k: ~F.array_contains(F.col("positions"), k)), "\n")
     )
     return joined.select(
-        *[kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
+        *[kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("positions").isNull(), 0).otherwise(F.size("positions")).cast("long").alias("n_dropped"),
     )

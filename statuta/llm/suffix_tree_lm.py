@@ -13,9 +13,10 @@ the root's are add-one.  A token is scored in the state of the longest suffix of
 its history, which is found by growing the suffix while it is a state.
 
 Counting is exact and covers all training documents, one pass for each length of
-context.  A pass counts sequences only after contexts that a bit filter of the
-candidates lets through (FILTER_BITS; a fuller filter passes more rows, never
-fewer); a join then leaves the candidates.  Sequences travel packed by context
+context.  A sequence that is seen LEAST_PAIR times follows a candidate, and without
+its oldest word it is seen as often; so a pass counts only what two bit filters,
+of the candidates and of the listed shorter sequences, let through (FILTER_BITS;
+a fuller filter passes more rows, never fewer); joins then leave the exact ones.  Sequences travel packed by context
 and are dealt out by the hash of the whole sequence, so a context that a third
 of the corpus follows goes to no single task; the number of tasks grows with the
 tokens (PART_TOKENS).
@@ -49,13 +50,13 @@ from statuta.llm.textkit import U, hash_word, mix, text_slices, word_bounds, wor
 
 DEPTH = 4
 LEAST_COUNT = 16
-LEAST_PAIR = 4
+LEAST_PAIR = 16
 #: Bits of training text, per symbol it lists, that a context must save to be retained.
 BITS_PER_SYMBOL = 4.0
 #: Weight of the parent's distribution in a state's, in counts.
 PRIOR = 8.0
 #: Entries of 16 bytes that tasks are sent of the tree and of the words.
-HEAD_ADDENDS, HEAD_WORDS = 1_500_000, 400_000
+HEAD_ADDENDS, HEAD_WORDS = 2_000_000, 400_000
 #: Training tokens for each task that merges counts.
 PART_TOKENS = 4_000_000
 #: Tokens after which a task sends what it has counted.
@@ -159,12 +160,13 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.repeat(ctx, sizes), np.repeat(shorter, sizes), h, n
 
 
-def count_sequences(docs: DataFrame, order: int, candidates: DataFrame, parts: int) -> DataFrame:
+def count_sequences(docs: DataFrame, order: int, candidates: np.ndarray, lower: np.ndarray, parts: int) -> DataFrame:
     """key, ctx, up, n of the sequences seen LEAST_PAIR times whose first `order` words may be a candidate.
 
-    up is the key of the sequence without its oldest word.
+    up is the key of the sequence without its oldest word.  candidates and lower are
+    filters by key, of the candidates and of the sequences that up may be.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(key_filter(candidates.select("ctx")))
+    sent = docs.sparkSession.sparkContext.broadcast((candidates, lower))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -186,7 +188,8 @@ def count_sequences(docs: DataFrame, order: int, candidates: DataFrame, parts: i
                 h, row = token_hashes(data, offsets)
                 made = sequences(h, row, order)
                 at = np.flatnonzero(made[order][1])
-                at = at[_may_hold(sent.value, made[order - 1][0][at - 1])]
+                for bits, back in zip(sent.value, (1, 0), strict=True):
+                    at = at[_may_hold(bits, made[order - 1][0][at - back])]
                 shorter = made[order - 2][0][at - 1] if order > 1 else np.zeros(len(at), U)
                 held.append((made[order - 1][0][at - 1], shorter, h[at]))
                 size += len(at)
@@ -218,30 +221,34 @@ def _bit(keys: np.ndarray) -> np.ndarray:
     return (keys >> U(3)) % U(FILTER_BITS)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each key that occurs: FILTER_BITS of them, packed, however many keys there are."""
+def key_filters(*tables: DataFrame) -> list[np.ndarray]:
+    """Of each table (one column), a bit for each key that occurs: FILTER_BITS of them, packed, however many keys there are."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = np.unique(_bit(batch.column(0).to_numpy().view(U)))
-            np.bitwise_or.at(bits, at >> U(3), np.uint8(1) << (at & U(7)).astype(np.uint8))
-        for c in range(0, len(bits), _CHUNK):
-            if (part := bits[c : c + _CHUNK]).any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "bits": [part.tobytes()]})
+            which, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)
+            for k in np.unique(which).tolist():
+                at = np.unique(_bit(keys[which == k]))
+                np.bitwise_or.at(bits.setdefault(k, np.zeros(FILTER_BITS // 8, np.uint8)), at >> U(3), np.uint8(1) << (at & U(7)).astype(np.uint8))
+        for k, held in bits.items():
+            for c in range(0, len(held), _CHUNK):
+                if (part := held[c : c + _CHUNK]).any():
+                    yield pa.RecordBatch.from_pydict({"which": pa.array([k], pa.int32()), "chunk": pa.array([c], pa.int32()), "bits": [part.tobytes()]})
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
+        found: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for which, chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 got = np.frombuffer(raw.as_py(), np.uint8)
-                found[chunk] = found[chunk] | got if chunk in found else got
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(found), pa.int32()), "bits": pa.array([x.tobytes() for x in found.values()], pa.binary())})
+                found[which, chunk] = found[which, chunk] | got if (which, chunk) in found else got
+        yield pa.RecordBatch.from_pydict({"which": pa.array([w for w, _ in found], pa.int32()), "chunk": pa.array([c for _, c in found], pa.int32()), "bits": pa.array([x.tobytes() for x in found.values()], pa.binary())})
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    kind = "chunk int, bits binary"
+    out = [np.zeros(FILTER_BITS // 8, np.uint8) for _ in tables]
+    kind = "which int, chunk int, bits binary"
+    keys = reduce(DataFrame.union, [t.select(F.lit(k).alias("which"), F.col(t.columns[0]).alias("key")) for k, t in enumerate(tables)])
     for row in keys.coalesce(16).mapInArrow(task, kind).repartition(16, "chunk").mapInArrow(merged, kind).collect():
-        out[row.chunk : row.chunk + _CHUNK] = np.frombuffer(row.bits, np.uint8)
+        out[row.which][row.chunk : row.chunk + _CHUNK] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
@@ -260,7 +267,6 @@ def grow(counts: DataFrame, candidates: DataFrame, lower: DataFrame, order: int)
     spark = counts.sparkSession
     rows = counts.join(candidates, "ctx").join(lower.select(F.col("key").alias("up"), F.col("log_p").alias("above")), "up")
     rows = materialise(rows, f"lm-listed-{order}")
-    release(spark)
     sums = rows.groupBy("ctx").agg(F.first("total").alias("total"), F.first("shorter").alias("shorter"), F.sum("n").alias("shown"), F.count("*").alias("listed"), F.sum(F.pow(F.lit(10.0), "above")).alias("above_sum"))
     left = F.col("total") - F.col("shown") + PRIOR
     p = (F.col("n") + left * F.pow(F.lit(10.0), "above")) / (F.col("total") + PRIOR)
@@ -310,15 +316,14 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Model:
         release(spark)
         tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
-        lower = words.select("key", F.log10((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("log_p"))
+        lower = words.where(F.col("n") >= LEAST_PAIR).select("key", F.log10((F.col("n") + 1) / F.lit(float(tokens + distinct + 1))).alias("log_p"))
         candidates = words.where(F.col("n") >= LEAST_COUNT).select(F.col("key").alias("ctx"), F.lit(0).cast("long").alias("shorter"), F.col("n").alias("total"))
         orders = []
         for order in range(1, depth + 1):
-            candidates = materialise(candidates, f"lm-candidates-{order}")
-            if candidates.isEmpty():
+            may, shorter = key_filters(candidates.select("ctx"), lower.select("key"))
+            if not may.any():
                 break
-            listed, states = grow(count_sequences(docs, order, candidates, parts), candidates, lower, order)
-            discard(candidates)
+            listed, states = grow(count_sequences(docs, order, may, shorter, parts), candidates, lower, order)
             orders.append((listed, states))
             # a candidate's count is that of its words as a sequence, since each word has a follower
             candidates = listed.where(F.col("n") >= LEAST_COUNT).join(states.select(F.col("ctx").alias("up")), "up", "left_semi").select(F.col("key").alias("ctx"), F.col("up").alias("shorter"), F.col("n").alias("total"))
@@ -425,9 +430,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if tree is not None:
         addends, found = head_and_others(tree, head_addends)
         others = others.unionByName(found.select("key", F.lit(0).alias("word"), "value"))
-        found = None if found.isEmpty() else key_filter(found.select("key"))
+        found = None if found.isEmpty() else key_filters(found.select("key"))[0]
     scale = model.tokens + model.distinct + 1
-    head = Head(words, addends, scale, None if other_words.isEmpty() else key_filter(other_words.select("key")), found)
+    head = Head(words, addends, scale, None if other_words.isEmpty() else key_filters(other_words.select("key"))[0], found)
     with arrow_rows(spark, BATCH_ROWS):
         scored = materialise(score_pass(rows, head, depth), "lm-scored")
     release(spark)

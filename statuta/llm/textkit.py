@@ -85,33 +85,33 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word [start, end), which are in order."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word [start, end), which are in order; fold maps bytes, lower-casing them by default."""
     out = np.empty(len(start), dtype=U)
     i = 0
     while i < len(start):
         a = int(start[i])
         j = int(np.searchsorted(end, a + SLICE_BYTES, side="right"))
         if j <= i:
-            out[i] = _long_word(data[a : end[i]])
+            out[i] = _long_word(fold[data[a : end[i]]])
             i += 1
             continue
         piece = data[a : end[j - 1]]
         p, inv = _powers(len(piece) + 1)
         total = np.zeros(len(piece) + 1, dtype=U)
-        np.cumsum((LOWER[piece].astype(U) + U(1)) * p[:-1], out=total[1:])
+        np.cumsum((fold[piece].astype(U) + U(1)) * p[:-1], out=total[1:])
         out[i:j] = (total[end[i:j] - a] - total[start[i:j] - a]) * inv[start[i:j] - a]
         i = j
     return mix(out)
 
 
 def _long_word(word: np.ndarray) -> int:
-    """The unmixed hash of a word longer than a slice."""
+    """The unmixed hash of a folded word longer than a slice."""
     total, scale, step = 0, 1, pow(_P, SLICE_BYTES, 1 << 64)
     p, _ = _powers(SLICE_BYTES)
     for a in range(0, len(word), SLICE_BYTES):
         piece = word[a : a + SLICE_BYTES]
-        total += int(np.sum((LOWER[piece].astype(U) + U(1)) * p[: len(piece)], dtype=U)) * scale
+        total += int(np.sum((piece.astype(U) + U(1)) * p[: len(piece)], dtype=U)) * scale
         scale = scale * step % (1 << 64)
     return total % (1 << 64)
 
