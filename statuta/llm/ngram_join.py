@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from statuta.llm.components import components
 from statuta.llm.store import arrow_rows, discard, materialise, release, row_key, table
-from statuta.llm.textkit import U, mix, shingle_hashes, text_slices, word_bounds, word_hashes
+from statuta.llm.textkit import U, mix, shingle_hashes, text_slices, trim, word_bounds, word_hashes
 
 ORDERS = 2
 #: Counters of the sketch: four for each document, within these bounds (64 MB at most).
@@ -271,6 +271,8 @@ def bucket_rows(packed: DataFrame, parts: int) -> DataFrame:
                 blobs.append(blob)
         if blobs:
             yield emit(*at, blobs)
+        blobs = []
+        trim()
 
     schema = ", ".join(f"{n} {sql[t]}" for n, t in zip(names, kinds, strict=True))
     return packed.repartitionById(parts, "part").sortWithinPartitions("kind", "part").mapInArrow(task, schema)
@@ -376,6 +378,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, salt: int) -> D
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(common * DEN >= NUM * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     links = materialise(both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long"), "join-links")
     discard(members, involved)

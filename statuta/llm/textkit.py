@@ -8,6 +8,7 @@ never share a word.  Null texts are empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def trim() -> None:
+    """Give free memory back to the system: workers live on after their tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL(None)
+except OSError:  # no such library here
+    _libc = None
+
+
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, row offsets) for runs of rows of about SLICE_BYTES."""
     if isinstance(column, pa.ChunkedArray):
@@ -66,6 +80,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         j = min(j, n)
         yield i, j - i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    trim()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -55,7 +55,7 @@ class WordEncoder:
     bounded; when full it is emptied, which changes no result.
     """
 
-    def __init__(self, tokenizer_file: str, max_words: int = 1_200_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
