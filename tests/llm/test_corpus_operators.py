@@ -316,9 +316,8 @@ def test_automata_have_learned_the_formats():
         every = Counter("".join(values))
         size = sum(every.values()) + len(values)
         frequency = sum(math.log2((every[c] + 0.2) / size) for v in held_out[name][1] for c in v) + len(held_out[name][1]) * math.log2(len(values) / size)
-        likelier = sum(automata[name].bits(v) for v in held_out[name][1]) - frequency
-        assert likelier > -len(held_out[name][1]), name  # strings without inner form gain by their length alone
-        assert likelier > 0 or name in ("base64_key", "mixed_token", "plain_run"), name
+        if name not in ("base64_key", "mixed_token"):  # they have no inner form, only a length
+            assert sum(automata[name].bits(v) for v in held_out[name][1]) > frequency, name
     loop = infer(["ab" * k for k in range(1, 200)] * 3)
     assert loop.states < 20
 
