@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: The obligation phrases that mark a normative sentence.
 DEONTIC = ["must", "shall", "should", "required to", "is required to", "is obliged to", "is prohibited from", "prohibited", "forbidden", "may not"]
 DEONTIC_PATTERN = r"\b(" + "|".join(DEONTIC) + r")\b"
-#: Capitalised phrases of up to 1 + n words.
+#: Fixed value: capitalised phrases of up to 1 + n words.
 PROPER_NOUN = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,%d})\b"
 _CUT = "\u0001"
 

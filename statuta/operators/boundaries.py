@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as T
+from statuta.operators.verdict import boundaries_prompt  # noqa: F401
 
 #: A model is not asked about longer texts.
 MODEL_CHARS = 40_000

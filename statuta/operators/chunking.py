@@ -18,8 +18,7 @@ from statuta.functions import text as T
 from statuta.functions import vectors as V
 
 #: What marks a section, a bullet and a numbered clause.
-SECTION_WORDS = ["article", "section", "chapter", "annex", "schedule"]
-SECTION = r"(?i)\n\s*(?:" + "|".join(SECTION_WORDS) + r")\s+\d+\b|\n\n+"
+SECTION = r"(?i)\n\s*(?:article|section|chapter|annex|schedule)\s+\d+\b|\n\n+"
 BULLET = r"^\s*(?:[-•*]|\d+\.|\([a-zA-Z0-9]+\))\s+"
 CLAUSE = r"^\d+(\.\d+)*[).]?\s+"
 HEADING_CHARS = 120
@@ -96,20 +95,30 @@ def clause_array(text: Column) -> Column:
 
 
 def packed_sentence_array(text: Column, size: int, overlap: int, split: Callable[[Column], Column] = T.sentences) -> Column:
-    """Whole sentences packed into chunks of about size words; each begins with the last overlap words before it."""
-    empty = F.array().cast("array<string>")
+    """Whole sentences packed into chunks of about size words; each begins with the last overlap words before it.
 
-    def add(acc: Column, sentence: Column) -> Column:
-        new, cur = T.words(sentence), acc["cur"]
-        full = (F.size(cur) + F.size(new) > size) & (F.size(cur) > 0)
-        tail = F.slice(cur, F.greatest(F.lit(-overlap), -F.size(cur)), overlap) if overlap > 0 else empty
+    A chunk is a run of the text's words, so the fold carries word numbers and the words are cut out at its end.
+    """
+    spans = "array<struct<first:int,last:int>>"
+
+    def add(acc: Column, n: Column) -> Column:
+        first, last = acc["first"], acc["last"]
+        full = (last - first + n > size) & (last > first)
         return F.struct(
-            F.when(full, F.concat(tail, new)).otherwise(F.concat(cur, new)).alias("cur"),
-            F.when(full, F.array_append(acc["out"], T.join_words(cur))).otherwise(acc["out"]).alias("out"),
+            F.when(full, F.greatest(first, last - overlap)).otherwise(first).alias("first"),
+            (last + n).alias("last"),
+            F.when(full, F.array_append(acc["out"], F.struct(first.alias("first"), last.alias("last")))).otherwise(acc["out"]).alias("out"),
         )
 
-    start = F.struct(empty.alias("cur"), empty.alias("out"))
-    return F.aggregate(split(text), start, add, lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["out"], T.join_words(a["cur"]))).otherwise(a["out"]))
+    def close(acc: Column) -> Column:
+        return F.when(acc["last"] > acc["first"], F.array_append(acc["out"], F.struct(acc["first"].alias("first"), acc["last"].alias("last")))).otherwise(acc["out"])
+
+    def packed(words: Column) -> Column:
+        start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"), F.array().cast(spans).alias("out"))
+        made = F.aggregate(F.transform(words, F.size), start, add, close)
+        return T.let(F.flatten(words), lambda w: F.transform(made, lambda c: T.join_words(F.slice(w, c["first"] + 1, c["last"] - c["first"]))))
+
+    return T.let(F.transform(split(text), T.words), packed)
 
 
 def exploded(docs: DataFrame, chunks: Column, key: str = "doc_id") -> DataFrame:
@@ -209,12 +218,13 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     """chunk_id numbers all chunks in document order.
 
     Documents are counted first and only their counts are put in order, in blocks
-    of 10,000 ids, so that no task holds all documents.
+    of 10,000 ids, so that no task holds all documents.  Chunks of a null id come first.
     """
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.floor(F.first("doc_id") / 10_000).alias("block"))
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.first(F.expr("doc_id div 10000")).alias("block"))
     blocks = counts.groupBy("block").agg(F.sum("n").alias("block_n"))
     ahead = F.coalesce(F.sum("block_n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.join(blocks.withColumn("ahead", ahead), "block").withColumn("first", F.col("ahead") + inside).select("doc_id", "first")
+    placed = blocks.select(F.col("block").alias("of_block"), ahead.alias("ahead"))
+    first = counts.join(placed, F.col("block").eqNullSafe(F.col("of_block"))).select(F.col("doc_id").alias("of_doc"), (F.col("ahead") + inside).alias("first"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    return chunks.join(first, "doc_id").withColumn("chunk_id", F.col("first") + place).drop("first")
+    return chunks.join(first, F.col("doc_id").eqNullSafe(F.col("of_doc"))).withColumn("chunk_id", F.col("first") + place).drop("first", "of_doc")

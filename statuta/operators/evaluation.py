@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The policies for labels of one class.
 POLICIES = ("sklearn", "nan", "perfect-if-match", "formula-zero-div-is-0")
 
 
 def to_binary(label: Column) -> Column:
-    """1 for fail in any case, 0 for any other label (unknown counts as pass)."""
-    return (F.lower(label) == "fail").cast("int")
+    """1 for fail in any case, a whole number as it is, 0 for any other label (unknown and null count as pass)."""
+    number = F.when(F.trim(label).rlike(r"^[+-]?\d+$"), F.trim(label).try_cast("int"))
+    return F.coalesce(number, (F.lower(label) == "fail").cast("int"), F.lit(0))
 
 
 def paired(predictions: DataFrame, gold: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as T
+from statuta.operators.providers import Reply, with_replies
+from statuta.operators.verdict import agents_prompt, duty_prompt
 
 #: First words that make a capitalised phrase no agent, and phrases that are none.
 NOT_FIRST = ["The", "This", "If", "When", "Where", "In", "On"]
 NOT_LOCAL = ["the", "this", "that", "when", "if"]
 MOST_AGENTS, LOCAL_AGENTS, PARAGRAPH_BATCH = 50, 3, 8
+#: Fixed value: an obligation phrase and what follows it in the sentence.
 ACTION = r"(?i)\b(" + "|".join(T.DEONTIC) + r")\b\s+([^.\n]{1,250})"
 
 
@@ -48,7 +51,8 @@ def node_text(nodes: DataFrame, *columns: str) -> Column:
 
 def _contains(text: Column, phrase: Column, any_case: bool) -> Column:
     """Whether text has phrase as whole words."""
-    return F.regexp_like(text, F.concat(F.lit("(?i)" if any_case else ""), F.lit(r"\b\Q"), phrase, F.lit(r"\E\b")))
+    quoted = F.regexp_replace(phrase, r"([^\p{L}\p{N}\s])", r"\\$1")  # every mark stands for itself
+    return F.regexp_like(text, F.concat(F.lit("(?i)" if any_case else ""), F.lit(r"\b"), quoted, F.lit(r"\b")))
 
 
 def _first_present(agents: Column, text: Column, any_case: bool) -> Column:
@@ -119,6 +123,37 @@ def unmatched_paragraphs(docs: DataFrame) -> DataFrame:
     return deontic_paragraphs(docs).where(~F.regexp_like("para", F.lit(ACTION))).drop("batch")
 
 
+def asked_triples(docs: DataFrame, provider: Reply, agents: DataFrame | None = None) -> DataFrame:
+    """doc_id, para_pos, match_pos, agent, deontic, action that a model gives for the unmatched paragraphs.
+
+    A paragraph is asked about for the first agent of its document that it names; a
+    reply without both keys, or with a null or blank action, gives no row.
+    """
+    agents = agents if agents is not None else document_agents(docs)
+    rows = unmatched_paragraphs(docs).join(agents, "doc_id").withColumn("agent", _first_present(F.col("agents"), F.col("para"), True)).where("agent is not null")
+    asked = with_replies(rows.select("doc_id", "para_pos", "agent", duty_prompt(F.col("para"), F.col("agent")).alias("prompt")), provider)
+    told = F.from_json("reply", "deontic string, action string")
+    made = asked.select("doc_id", "para_pos", F.lit(0).alias("match_pos"), T.strip(F.col("agent")).alias("agent"), T.strip(told["deontic"]).alias("deontic"), T.strip(told["action"]).alias("action"))
+    return made.where("deontic <> '' and action <> ''")
+
+
+def asked_agents(docs: DataFrame, provider: Reply) -> DataFrame:
+    """doc_id, agents that a model lists for each document with an obligation phrase; those of document_agents() where it lists none."""
+    rows = docs.where(T.has_deontic(F.col("text"))).select("doc_id", agents_prompt(F.col("text")).alias("prompt"))
+    told = with_replies(rows, provider).select("doc_id", T.split_list(F.coalesce("reply", F.lit(""))).alias("told"))
+    both = document_agents(docs).join(told, "doc_id")
+    return both.select("doc_id", F.when(F.size("told") > 0, F.slice(F.array_distinct("told"), 1, MOST_AGENTS)).otherwise(F.col("agents")).alias("agents"))
+
+
+def all_eventic_triples(docs: DataFrame, provider: Reply | None = None) -> DataFrame:
+    """eventic_triples(), and with a provider its agents and what it says of the paragraphs without an action."""
+    if provider is None:
+        return eventic_triples(docs)
+    agents = asked_agents(docs, provider)
+    both = eventic_triples(docs, agents).unionByName(asked_triples(docs, provider, agents))
+    return first_of_each(both, [F.col("doc_id"), F.lower("agent"), F.lower("deontic"), F.lower("action")], ["para_pos", "match_pos"])
+
+
 def eventic_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes id, type, seq; edges src, dst, rel, seq) of triples (agent, deontic, action, seq)."""
     deontic, action = F.concat(F.lit("DEONTIC::"), "deontic"), F.concat(F.lit("ACTION::"), "action")

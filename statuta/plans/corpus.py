@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Normative texts: three paragraphs with a heading, a section mark, bullets and clauses.
@@ -68,7 +70,8 @@ TABLES = ["region", "nation", "customer", "supplier", "documents", "labels", "em
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in sql}
-    for name, df in frames.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql.replace('"end"', "`end`"))
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+    sql = sql.replace('"end"', "`end`").replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+    return spark.sql(sql, **frames)

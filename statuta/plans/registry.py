@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from statuta.functions import text as T
 from statuta.functions import vectors as V
 from statuta.operators import boundaries, chunking, contracts, evaluation, fusion, questions, retrieval, triples, verdict
-from statuta.operators.providers import hashed_embedder
+from statuta.operators.providers import embedding_udf, hashed_embedder
 from statuta.plans import corpus
 from statuta.sources import triples as triple_files
 
@@ -233,7 +233,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12
 SELECT 'simple_128_ov16' AS experiment, round(avg(score), 6) AS avg_score, count(*) AS n FROM r WHERE rank <= 3""")
 def retrieval_summary(spark, d):
     """Windows of 128 words, hashed embeddings, the three nearest to each benchmark item, their mean score."""
-    chunks = chunking.word_windows(_docs(spark, d), 128, 16).select(F.lit("simple_128_ov16").alias("experiment"), "doc_id", "pos", V.hashed_embedding(F.split("text", " "), DIM).alias("vec"))
+    chunks = chunking.word_windows(_docs(spark, d), 128, 16).select(F.lit("simple_128_ov16").alias("experiment"), "doc_id", "pos", embedding_udf(hashed_embedder(DIM))("text").alias("vec"))
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), V.hashed_embedding(T.words(F.col("text")), DIM).alias("vec"))
     found = retrieval.summary(retrieval.grouped_top_k(chunks, items, 3))
     return found.withColumn("avg_score", F.round("avg_score", 6))
@@ -280,7 +280,7 @@ def eventic_triples(spark, d):
 
 
 def _event_rows(spark, d):
-    return triples.eventic_triples(_policy(spark, d)).withColumn("seq", F.col("doc_id") * 1000 + F.col("para_pos") * 100 + F.col("match_pos"))
+    return triples.eventic_triples(_policy(spark, d)).withColumn("seq", F.shiftleft("doc_id", 32) + F.shiftleft("para_pos", 16) + F.col("match_pos"))
 
 
 @query(f"""WITH {_EVENTIC} SELECT src, dst, rel FROM (SELECT agent AS src, 'DEONTIC::' || deontic AS dst, 'has_deontic' AS rel FROM ev UNION SELECT 'DEONTIC::' || deontic, 'ACTION::' || action, 'regulates' FROM ev)""")
@@ -297,8 +297,7 @@ _STAR_EDGES = f"st AS ({corpus.STAR_SQL}), se AS (SELECT subject AS src, object
 
 
 def _star(spark, d):
-    nodes, edges = triples.static_graph(corpus.run(spark, d, corpus.STAR_SQL))
-    return nodes.persist(), edges.persist()  # read by several joins of one query
+    return triples.static_graph(corpus.run(spark, d, corpus.STAR_SQL))
 
 
 @query(f"WITH {_STAR_EDGES} SELECT * FROM se")

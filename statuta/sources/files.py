@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as T
+from statuta.sources import pdf
+from statuta.sources.scratch import written
 
 #: Extensions that are read as text.
 TEXT_EXTENSIONS = ["txt", "md", "text"]
@@ -39,8 +41,8 @@ def join_pages(pages: list[str], joiner: str = "\n", drop_empty: bool = True) ->
     return joiner.join(p for p in pages if p or not drop_empty)
 
 
-def file_texts(files: DataFrame, pdf_pages: Pages | None = None, joiner: str = "\n", drop_empty: bool = True, fallback: bool = True) -> DataFrame:
-    """filename, text of binaryFile rows; a PDF that can't be read (or without a provider) has an empty text."""
+def file_texts(files: DataFrame, pdf_pages: Pages = pdf.pdf_pages, joiner: str = "\n", drop_empty: bool = True, fallback: bool = True) -> DataFrame:
+    """filename, text of binaryFile rows; a PDF that can't be read has an empty text.  pdf_pages maps its bytes to pages."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,7 +52,7 @@ def file_texts(files: DataFrame, pdf_pages: Pages | None = None, joiner: str = "
                     texts.append(decode_text(raw.as_py(), fallback))
                     continue
                 try:
-                    texts.append(join_pages(pdf_pages(raw.as_py()), joiner, drop_empty) if pdf_pages else "")
+                    texts.append(join_pages(pdf_pages(raw.as_py()), joiner, drop_empty))
                 except Exception:
                     texts.append("")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["filename", "text"])
@@ -64,7 +66,7 @@ def read_documents(spark: SparkSession, folder: str, other_extensions: bool = Tr
     files = spark.read.format("binaryFile").load(folder)
     if not other_extensions:
         files = files.where(T.file_extension(F.col("path")).isin([*TEXT_EXTENSIONS, "pdf"]))
-    texts = file_texts(files, **options).where(T.strip(F.col("text")) != "")
+    texts = written(file_texts(files, **options).where(T.strip(F.col("text")) != ""), "file-texts")  # read and decoded once
     names = texts.select("filename").withColumn("doc_id", F.row_number().over(Window.orderBy("filename")).cast("long") - 1)  # names only
     return texts.join(names, "filename").select("doc_id", "filename", "text")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.functions import vectors as V
+
 RETRIEVAL_COLUMNS = ["experiment", "query", "rank", "score", "chunk_text_snippet", "chunk_doc"]
 
 
@@ -27,8 +29,18 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_vectors(spark: SparkSession, path: str, vec_col: str = "vec", renormalise: bool = True, missing_is_empty: bool = True) -> DataFrame:
+    """What write_vectors() wrote, as unit vectors if renormalise; no rows from a path that isn't there, if so asked."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if missing_is_empty and not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], f"id long, {vec_col} array<double>")
+    found = spark.read.parquet(path)
+    return found.withColumn(vec_col, V.unit(F.col(vec_col))) if renormalise else found
+
+
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that write_json() wrote."""
+    return spark.read.schema(schema).json(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -56,3 +56,51 @@ def test_queries_and_chunks(spark, tmp_path):
     assert [(r.chunk_id, r.text, r.meta) for r in files.read_chunks(spark, str(tmp_path / "c.json")).collect()] == [(0, "a", {}), (1, " ", None)]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.read_chunks(spark, str(tmp_path / "none.json")).count()
+
+
+def test_pdf_and_rdf_texts():
+    import zlib
+
+    from statuta.plans.files_registry import made_pdf
+    from statuta.sources import rdf
+    from statuta.sources.pdf import content_text, pdf_pages
+
+    assert pdf_pages(made_pdf(["one é", "", "two"])) == ["one é", "", "two"]
+    assert content_text(rb"BT [(a \(b\)) -20 (c)] TJ T* <64 65> Tj ET BT (f\101\n) Tj ET") == "a (b)c\nde\nfA"
+    packed = b"5 0 6 40 " + b"<< /Type /Page /Contents 9 0 R >>".ljust(40) + b"<< /Type /Pages /Kids [5 0 R] >>"
+    raw = b"%PDF-1.5\n8 0 obj\n<< /Type /ObjStm /First 9 /N 2 /Filter /FlateDecode >>\nstream\n" + zlib.compress(packed) + b"\nendstream\nendobj\n9 0 obj\n<< >>\nstream\nBT (x) ' ET\nendstream\nendobj"
+    assert pdf_pages(raw) == ["x"]
+    with pytest.raises(ValueError):
+        pdf_pages(b"no pdf")
+    assert rdf.turtle('@prefix e: <u:> . # note\ne:a a e:T ; e:p "v \\"w"@en, 5 .\ne:b e:q e:a, "x"^^e:t.') == [("u:a", rdf.TYPE, "u:T"), ("u:a", "u:p", 'v "w'), ("u:a", "u:p", "5"), ("u:b", "u:q", "u:a"), ("u:b", "u:q", "x")]
+    assert rdf.parsed("x.ttl", "no triple") == [] and rdf.parsed("x.ttl", "") == []
+    xml = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="u:"><e:T rdf:about="u:a"><e:p>v</e:p><e:q rdf:resource="u:b"/><e:r><rdf:Description rdf:about="u:c"/></e:r></e:T></rdf:RDF>'
+    assert rdf.parsed("x.rdf", xml) == [("u:a", rdf.TYPE, "u:T"), ("u:a", "u:p", "v"), ("u:a", "u:q", "u:b"), ("u:a", "u:r", "u:c")]
+    assert rdf.parsed("x.jsonld", '{"@context": {"p": "u:p"}, "@id": "u:a", "@type": "u:T", "p": ["v", {"@id": "u:b"}, true]}') == [("u:a", rdf.TYPE, "u:T"), ("u:a", "u:p", "v"), ("u:a", "u:p", "u:b"), ("u:a", "u:p", "true")]
+
+
+def test_last_predicate_of_a_folder(spark, tmp_path):
+    """A later file's predicate stays, whatever its place in the file."""
+    (tmp_path / "a.json").write_text(json.dumps([{"s": "x", "p": "q", "o": "y"}, {"s": "a", "p": "FIRST", "o": "b"}]))
+    (tmp_path / "b.json").write_text(json.dumps([{"s": "a", "p": "LAST", "o": "b"}]))
+    nodes, edges = triples.static_graph(read_static_folder(spark, str(tmp_path)))
+    assert {(r.src, r.predicate) for r in edges.collect()} == {("x", "q"), ("a", "LAST")}
+    assert [r.id for r in nodes.orderBy("seq").collect()] == ["x", "y", "a", "b"]
+
+
+def test_reports(spark):
+    from statuta.operators import reports
+
+    chunks = spark.createDataFrame([(1, 0, "a b c " * 40)], "doc_id long, pos int, text string")
+    assert reports.chunk_report(chunks, width=40).startswith("[1.0] 120 words\na b c")
+    summary = spark.createDataFrame([("x", 0.25, 3), ("y", 0.5, 3)], "experiment string, avg_score double, n long")
+    assert [line.split() for line in reports.summary_report(summary).splitlines()] == [["y", "0.5000", "3"], ["x", "0.2500", "3"]]
+    labels = [(k, "fail" if k < 2 else "pass") for k in range(4)]
+    report = evaluation.report(spark.createDataFrame(labels, "chunk_id long, verdict string"), spark.createDataFrame([(*x, 0) for x in labels], "chunk_id long, label string, seq long"))
+    assert reports.metrics_report(report) == "pairs 4: TN 2, FP 0, FN 0, TP 2; accuracy 1.0000, MCC 1.0000; 0 unknown"
+
+
+def test_chunk_ids_of_odd_documents(spark):
+    rows = [(None, 0, "n"), (3, 1, "b"), (3, 0, "a"), (2**60, 0, "z"), (-5, 0, "m")]
+    got = chunking.with_chunk_ids(spark.createDataFrame(rows, "doc_id long, pos int, text string")).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.text) for r in got] == [(0, "n"), (1, "m"), (2, "a"), (3, "b"), (4, "z")]

@@ -224,8 +224,8 @@ def test_token_labels(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "")], "doc_id long, text string")
     scores = lambda tokens: np.array([{"a": [0, 1, 0, 0, 0], "b": [0, 0, 1, 0, 0], "c": [1, 0, 0, 0, 0], "d": [0, 0, 0, 0, 1]}[t] for t in tokens])
     tokens = providers.token_labels(docs, scores)
-    assert [r.label for r in tokens.orderBy("pos").collect()] == ["B-TERM", "I-TERM", "O", "I-OBLIGATION"]
-    assert [(r.start, r.kind, r.phrase) for r in providers.label_spans(tokens).orderBy("start").collect()] == [(0, "TERM", "a b"), (3, "OBLIGATION", "d")]
+    assert [r.label for r in tokens.orderBy("pos").collect()] == ["B-TERM", "I-TERM", "O", "I-DEF"]
+    assert [(r.start, r.kind, r.phrase) for r in providers.label_spans(tokens).orderBy("start").collect()] == [(0, "TERM", "a b"), (3, "DEF", "d")]
 
 
 def test_chunk_choice_and_sinks(spark, tmp_path):

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from statuta.plans import registry
+from statuta.plans import files_registry, registry  # noqa: F401  (adds its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
