@@ -13,7 +13,7 @@ the root's are add-one.  A token is scored in the state of the longest suffix of
 its history, which is found by growing the suffix while it is a state.
 
 Counting is exact and covers all training documents, one pass for each length of
-context.  A sequence that is seen LEAST_PAIR times follows a candidate, and without
+context (PIECES for the shortest, which has the most).  A sequence that is seen LEAST_PAIR times follows a candidate, and without
 its oldest word it is seen as often; so a pass counts only what two bit filters,
 of the candidates and of the listed shorter sequences, let through (FILTER_BITS;
 a fuller filter passes more rows, never fewer); joins then leave the exact ones.  Sequences travel packed by context
@@ -59,6 +59,8 @@ PRIOR = 8.0
 HEAD_ADDENDS, HEAD_WORDS = 2_000_000, 400_000
 #: Training tokens for each task that merges counts.
 PART_TOKENS = 4_000_000
+#: Passes that the pairs of words are counted in, each a part of them by hash, so that their shuffle is on disk in parts.
+PIECES = 2
 #: Tokens after which a task sends what it has counted.
 FLUSH = 1_000_000
 #: Rows of an Arrow batch: a worker holds whole batches of texts.
@@ -160,11 +162,12 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.repeat(ctx, sizes), np.repeat(shorter, sizes), h, n
 
 
-def count_sequences(docs: DataFrame, order: int, candidates: np.ndarray, lower: np.ndarray, parts: int) -> DataFrame:
+def count_sequences(docs: DataFrame, order: int, candidates: np.ndarray, lower: np.ndarray, parts: int, piece: int = 0, pieces: int = 1) -> DataFrame:
     """key, ctx, up, n of the sequences seen LEAST_PAIR times whose first `order` words may be a candidate.
 
     up is the key of the sequence without its oldest word.  candidates and lower are
-    filters by key, of the candidates and of the sequences that up may be.
+    filters by key, of the candidates and of the sequences that up may be.  Of the
+    sequences, by a hash, one piece of so many is counted.
     """
     sent = docs.sparkSession.sparkContext.broadcast((candidates, lower))
 
@@ -190,6 +193,8 @@ def count_sequences(docs: DataFrame, order: int, candidates: np.ndarray, lower:
                 at = np.flatnonzero(made[order][1])
                 for bits, back in zip(sent.value, (1, 0), strict=True):
                     at = at[_may_hold(bits, made[order - 1][0][at - back])]
+                if pieces > 1:
+                    at = at[(made[order][0][at] >> U(5)) % U(pieces) == piece]
                 shorter = made[order - 2][0][at - 1] if order > 1 else np.zeros(len(at), U)
                 held.append((made[order - 1][0][at - 1], shorter, h[at]))
                 size += len(at)
@@ -323,7 +328,13 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Model:
             may, shorter = key_filters(candidates.select("ctx"), lower.select("key"))
             if not may.any():
                 break
-            listed, states = grow(count_sequences(docs, order, may, shorter, parts), candidates, lower, order)
+            pieces = PIECES if order == 1 else 1
+            counts = []
+            for piece in range(pieces):
+                counts.append(materialise(count_sequences(docs, order, may, shorter, parts, piece, pieces), f"lm-counts-{order}"))
+                release(spark)
+            listed, states = grow(reduce(DataFrame.unionByName, counts), candidates, lower, order)
+            discard(*counts)
             orders.append((listed, states))
             # a candidate's count is that of its words as a sequence, since each word has a follower
             candidates = listed.where(F.col("n") >= LEAST_COUNT).join(states.select(F.col("ctx").alias("up")), "up", "left_semi").select(F.col("key").alias("ctx"), F.col("up").alias("shorter"), F.col("n").alias("total"))

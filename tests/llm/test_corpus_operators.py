@@ -480,7 +480,15 @@ def test_suffix_tree_keeps_its_contexts_as_the_corpus_grows(spark, monkeypatch,
 
     monkeypatch.setattr(suffix_tree_lm, "FLUSH", 2000)
     rng = random.Random(3)
-    rows = [(k, " ".join(rng.choice(["red sky above", "old sea below", f"u{k}", "a m n o r1", "b m n o r2", "c k n o r3", "d j h o r4"]) for _ in range(200))) for k in range(24)]
+    weights = {}
+
+    def chain(n):
+        out = list("abca")
+        for _ in range(n):
+            out += rng.choices("abcd", weights.setdefault(tuple(out[-4:]), [rng.random() ** 3 for _ in range(4)]))
+        return " ".join(out)
+
+    rows = [(k, " ".join(rng.choice(["red sky above", "old sea below", f"u{k}"]) for _ in range(40)) + " " + chain(1500)) for k in range(24)]
     rows += [(100 + k, " ".join(f"w{k}x{i}" for i in range(20_000))) for k in range(5)]
     rows += [(None, "red sky above"), (300, None)]
     want, states, *_ = suffix_tree_scores(rows)
