@@ -34,13 +34,14 @@ an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ PIECES = 2
 FLUSH = 1_000_000
 #: Rows of an Arrow batch: a worker holds whole batches of texts.
 BATCH_ROWS = 1000
-#: Bits of a filter by key, sent packed: 8 MB.
+#: Bits of a filter by key: 8 MB, less as it is sent.
 FILTER_BITS = 1 << 26
 _CHUNK = 1 << 15
 _END_WORD = hash_word(b"\n")  # no word holds a line feed
@@ -162,14 +163,37 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.repeat(ctx, sizes), np.repeat(shorter, sizes), h, n
 
 
-def count_sequences(docs: DataFrame, order: int, candidates: np.ndarray, lower: np.ndarray, parts: int, piece: int = 0, pieces: int = 1) -> DataFrame:
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return (keys >> U(3)) % U(FILTER_BITS)
+
+
+class KeyFilter:
+    """A bit for each key that occurs, packed: FILTER_BITS of them, however many keys there are.
+
+    It travels compressed, since each executor keeps a copy of a broadcast on disk.
+    """
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.bits.tobytes(), 1)
+
+    def __setstate__(self, raw: bytes) -> None:
+        self.bits = np.frombuffer(zlib.decompress(raw), np.uint8)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = _bit(keys)
+        return (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+
+
+def count_sequences(docs: DataFrame, order: int, sent: Broadcast, parts: int, piece: int = 0, pieces: int = 1) -> DataFrame:
     """key, ctx, up, n of the sequences seen LEAST_PAIR times whose first `order` words may be a candidate.
 
-    up is the key of the sequence without its oldest word.  candidates and lower are
+    up is the key of the sequence without its oldest word.  sent has two
     filters by key, of the candidates and of the sequences that up may be.  Of the
     sequences, by a hash, one piece of so many is counted.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((candidates, lower))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -191,8 +215,8 @@ def count_sequences(docs: DataFrame, order: int, candidates: np.ndarray, lower:
                 h, row = token_hashes(data, offsets)
                 made = sequences(h, row, order)
                 at = np.flatnonzero(made[order][1])
-                for bits, back in zip(sent.value, (1, 0), strict=True):
-                    at = at[_may_hold(bits, made[order - 1][0][at - back])]
+                for those, back in zip(sent.value, (1, 0), strict=True):
+                    at = at[those.may_hold(made[order - 1][0][at - back])]
                 if pieces > 1:
                     at = at[(made[order][0][at] >> U(5)) % U(pieces) == piece]
                 shorter = made[order - 2][0][at - 1] if order > 1 else np.zeros(len(at), U)
@@ -222,12 +246,8 @@ def count_sequences(docs: DataFrame, order: int, candidates: np.ndarray, lower:
     return packed.repartitionById(parts, "part").mapInArrow(merged, "key long, ctx long, up long, n long")
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (keys >> U(3)) % U(FILTER_BITS)
-
-
-def key_filters(*tables: DataFrame) -> list[np.ndarray]:
-    """Of each table (one column), a bit for each key that occurs: FILTER_BITS of them, packed, however many keys there are."""
+def key_filters(*tables: DataFrame) -> list[KeyFilter]:
+    """The filter of each table's keys (one column)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
@@ -254,12 +274,7 @@ def key_filters(*tables: DataFrame) -> list[np.ndarray]:
     keys = reduce(DataFrame.union, [t.select(F.lit(k).alias("which"), F.col(t.columns[0]).alias("key")) for k, t in enumerate(tables)])
     for row in keys.coalesce(16).mapInArrow(task, kind).repartition(16, "chunk").mapInArrow(merged, kind).collect():
         out[row.which][row.chunk : row.chunk + _CHUNK] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _bit(keys)
-    return (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+    return [KeyFilter(bits) for bits in out]
 
 
 def grow(counts: DataFrame, candidates: DataFrame, lower: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
@@ -272,6 +287,7 @@ def grow(counts: DataFrame, candidates: DataFrame, lower: DataFrame, order: int)
     spark = counts.sparkSession
     rows = counts.join(candidates, "ctx").join(lower.select(F.col("key").alias("up"), F.col("log_p").alias("above")), "up")
     rows = materialise(rows, f"lm-listed-{order}")
+    release(spark)
     sums = rows.groupBy("ctx").agg(F.first("total").alias("total"), F.first("shorter").alias("shorter"), F.sum("n").alias("shown"), F.count("*").alias("listed"), F.sum(F.pow(F.lit(10.0), "above")).alias("above_sum"))
     left = F.col("total") - F.col("shown") + PRIOR
     p = (F.col("n") + left * F.pow(F.lit(10.0), "above")) / (F.col("total") + PRIOR)
@@ -282,6 +298,7 @@ def grow(counts: DataFrame, candidates: DataFrame, lower: DataFrame, order: int)
     judged = sums.join(saved, "ctx").withColumn("gain", F.col("listed_gain") + rest_gain)
     kept = judged.where(F.col("gain") >= BITS_PER_SYMBOL * (F.col("listed") + 1))
     states = materialise(kept.select("ctx", "shorter", "total", "shown", "listed", "gain", F.log10(left / (F.col("total") + PRIOR)).alias("rest")), f"lm-states-{order}")
+    release(spark)
     log_p = F.when(F.col("rest").isNull(), F.col("above")).otherwise(F.log10(p))
     named = rows.select("key", "ctx", "up", "n", "above").join(states.select("ctx", "total", "shown", "rest"), "ctx", "left")
     listed = materialise(named.select("key", "up", "n", log_p.alias("log_p"), (log_p - F.col("above") - F.col("rest")).alias("value")), f"lm-tree-{order}")
@@ -325,14 +342,17 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Model:
         candidates = words.where(F.col("n") >= LEAST_COUNT).select(F.col("key").alias("ctx"), F.lit(0).cast("long").alias("shorter"), F.col("n").alias("total"))
         orders = []
         for order in range(1, depth + 1):
-            may, shorter = key_filters(candidates.select("ctx"), lower.select("key"))
-            if not may.any():
+            filters = key_filters(candidates.select("ctx"), lower.select("key"))
+            release(spark)
+            if not filters[0].bits.any():
                 break
+            sent = spark.sparkContext.broadcast(filters)
             pieces = PIECES if order == 1 else 1
             counts = []
             for piece in range(pieces):
-                counts.append(materialise(count_sequences(docs, order, may, shorter, parts, piece, pieces), f"lm-counts-{order}"))
+                counts.append(materialise(count_sequences(docs, order, sent, parts, piece, pieces), f"lm-counts-{order}"))
                 release(spark)
+            sent.destroy()  # the counts are in tables now
             listed, states = grow(reduce(DataFrame.unionByName, counts), candidates, lower, order)
             discard(*counts)
             orders.append((listed, states))
@@ -358,7 +378,7 @@ def head_and_others(entries: DataFrame, most: int) -> tuple[pa.Table, DataFrame]
 class Head:
     """What tasks are sent: the commonest words and addends, and filters of the others."""
 
-    def __init__(self, words: pa.Table, addends: pa.Table | None, scale: int, other_words: np.ndarray | None, other_addends: np.ndarray | None):
+    def __init__(self, words: pa.Table, addends: pa.Table | None, scale: int, other_words: KeyFilter | None, other_addends: KeyFilter | None):
         keys, n = words["key"].to_numpy().view(U), words["n"].to_numpy()
         order = np.argsort(keys)
         self.words, self.log_p = keys[order], np.log10((n[order] + 1) / scale)
@@ -387,7 +407,7 @@ class Head:
                 place, found = _find(self.keys, key)
                 out[at[found]] += self.values[place[found]]
                 more = ~found
-                more[more] = _may_hold(self.other_addends, key[more]) if self.other_addends is not None else False
+                more[more] = self.other_addends.may_hold(key[more]) if self.other_addends is not None else False
                 keys.append(key[more])
                 tokens.append(at[more])
                 at = at[found | more]
@@ -399,9 +419,8 @@ class Head:
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_rare long, rare array<long>"
 
 
-def score_pass(docs: DataFrame, head: Head, depth: int) -> DataFrame:
-    """The scores of each row as far as tasks know them, and the keys of its other words and addends."""
-    sent = docs.sparkSession.sparkContext.broadcast(head)
+def score_pass(docs: DataFrame, sent: Broadcast, depth: int) -> DataFrame:
+    """The scores of each row as far as the Head that tasks are sent knows them, and the keys of its other words and addends."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = sent.value
@@ -412,7 +431,7 @@ def score_pass(docs: DataFrame, head: Head, depth: int) -> DataFrame:
                 base, known = head.roots(h)
                 rare = np.flatnonzero(~known)
                 added, keys, tokens = head.added(h, row, depth)
-                asked = rare[_may_hold(head.other_words, h[rare])] if head.other_words is not None else rare[:0]
+                asked = rare[head.other_words.may_hold(h[rare])] if head.other_words is not None else rare[:0]
                 of = np.concatenate([row[asked], row[tokens]])
                 order = np.argsort(of, kind="stable")
                 of, keys = of[order], np.concatenate([h[asked], keys])[order]
@@ -445,7 +464,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scale = model.tokens + model.distinct + 1
     head = Head(words, addends, scale, None if other_words.isEmpty() else key_filters(other_words.select("key"))[0], found)
     with arrow_rows(spark, BATCH_ROWS):
-        scored = materialise(score_pass(rows, head, depth), "lm-scored")
+        sent = spark.sparkContext.broadcast(head)
+        scored = materialise(score_pass(rows, sent, depth), "lm-scored")
+        sent.destroy()
     release(spark)
     more = scored.select("uid", F.explode("rare").alias("key")).join(others, "key").groupBy("uid").agg(
         F.sum("word").alias("more"), F.sum(F.when(F.col("word") == 1, F.col("value"))).alias("logs"), F.sum(F.when(F.col("word") == 0, F.col("value"))).alias("added")
