@@ -42,11 +42,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet and read it again; cuts the lineage."""
+    """Write df as Parquet and read it again; cuts the lineage.  The shuffle files of the write go when it is done."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)  # an empty table has no file to take it from
     out.statuta_path = path
     return out
@@ -61,15 +62,23 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
-    """At most so many rows in the Arrow batches of jobs run inside; the session's setting comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(was), most) if int(was) > 0 else most))
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for the jobs run inside; the session's own comes back."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """At most so many rows in the Arrow batches of jobs run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = int(spark.conf.get(name))
+    with setting(spark, name, str(min(was, most) if was > 0 else most)):
+        yield
 
 
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
