@@ -10,7 +10,7 @@ from collections import Counter
 
 import pytest
 
-from statuta.llm import registry
+from statuta.llm import registry, store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, key string"
 ITEMS = ["What is the sum of 12 apples and 30 pears that Anna bought in the market on Monday for her mother", "short item", "the train leaves the town at noon and comes back with a load of 40 kg of coal each day"]
@@ -540,3 +540,15 @@ def test_decontamination_finds_exact_copies_of_items_without_literals(spark):
     for most in (0, 1000):
         got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), items, filter_windows=most).collect()
         assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 3), (3, 0)}
+
+
+def test_settings_come_back(spark):
+    names = ["spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    was = [spark.conf.get(n, None) for n in names]
+    rows = store.materialise(spark.range(100).repartition(3, "id"), "settings")
+    assert rows.count() == rows.agg({"id": "count"}).first()[0] == 100  # read twice, after its shuffle files went
+    with pytest.raises(ZeroDivisionError), store.arrow_rows(spark, 7):
+        assert spark.conf.get(names[1]) == "7"
+        1 / 0  # noqa: B018
+    assert [spark.conf.get(n, None) for n in names] == was
+    store.discard(rows)
