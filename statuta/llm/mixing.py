@@ -11,12 +11,11 @@ given they are the observed shares to the power TEMPER, which moves weight from
 large groups to small ones.  A given target says nothing of values it doesn't
 name: they get no weight.
 
-The corpus is aggregated to its cells once.  Languages are those observed, the
-MOST_LANGS commonest by tokens; all others are `other`, so a sweep has few
-language-topic pairs, however large the corpus.  Up to DRIVER_CELLS cells (they
-are counted first) are raked on the driver; more are raked where they are, one
-aggregation for each sweep, of which the pairs' sums reach the driver.  Both do
-the same arithmetic.
+The corpus is aggregated to its cells once; every source and every language has
+a factor of its own.  Up to DRIVER_CELLS cells (they are counted first) are raked
+on the driver; more are raked where they are, with the factors of sources and
+languages as tables, of which only the sums of the topics reach the driver.  Both
+do the same arithmetic.
 
 Defined results: tokens are words; a null or blank text has none and topic
 `empty`; a null source is the group ``, a null language is `other`; a null id
@@ -29,14 +28,13 @@ sample_documents(), which keeps whole rows, repeated ones too.
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm.store import materialise, table
+from statuta.llm.store import discard, materialise, table
 
-MOST_LANGS = 24
 TOPICS = ("empty", "tabular", "short", "medium", "long")
 TEMPER = 0.85
 SWEEPS = 10
@@ -61,21 +59,18 @@ def described(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Raking:
-    """Factors by source (a table) and by language and topic; the largest factor of a cell; the largest
-    share by which a marginal misses its target; the languages that are told apart."""
+    """Factors by source and by language (tables) and by topic; the largest factor of a cell; the largest
+    share by which a marginal misses its target."""
 
     sources: DataFrame
-    langs: list[str]
-    by_lang: dict[str, float] = field(default_factory=dict)
-    by_topic: dict[str, float] = field(default_factory=dict)
+    langs: DataFrame
+    by_topic: dict[str, float]
     largest: float = 1.0
     residual: float = 0.0
 
-    def lang(self, lang: Column) -> Column:
-        return F.when(lang.isin(self.langs), lang).otherwise("other")
-
-    def pair(self, lang: Column, topic: Column) -> Column:
-        return _looked_up(self.by_lang, lang) * _looked_up(self.by_topic, topic)
+    def factor(self) -> Column:
+        """The factor of a row that was joined with both tables."""
+        return F.coalesce(F.col("source_factor") * F.col("lang_factor"), F.lit(0.0)) * _looked_up(self.by_topic, F.col("topic"))
 
 
 def _looked_up(values: dict[str, float], key: Column) -> Column:
@@ -86,83 +81,86 @@ def _looked_up(values: dict[str, float], key: Column) -> Column:
 def _goals(sums: dict[str, float], given: dict[str, float] | None, temper: float) -> dict[str, float]:
     """The tokens that each value shall have."""
     total = sum(sums.values())
-    raised = {k: (given.get(k, 0.0) if given is not None else s**temper) if s > 0 else 0.0 for k, s in sums.items()}
+    raised = {k: given.get(k, 0.0) if given is not None else s**temper for k, s in sums.items()}
     return {k: r / (sum(raised.values()) or 1.0) * total for k, r in raised.items()}
 
 
 def rake(rows: DataFrame, targets: Targets | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, driver_cells: int = DRIVER_CELLS) -> Raking:
     """The factors of rows (source, lang, topic, n_tokens)."""
-    targets = targets or {}
-    raw = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("w")).where("w > 0"), "mix-cells")
-    langs = [r.lang for r in raw.where("lang <> 'other'").groupBy("lang").agg(F.sum("w").alias("w")).orderBy(F.desc("w"), "lang").limit(MOST_LANGS).collect()]
-    known = Raking(raw.select("source", F.lit(0.0).alias("source_factor")).distinct(), langs)
-    cells = raw.groupBy("source", known.lang(F.col("lang")).alias("lang"), "topic").agg(F.sum("w").alias("w"))
-    cells = materialise(cells, "mix-told")
-    pairs = [tuple(r) for r in cells.groupBy("lang", "topic").agg(F.sum("w")).collect()]  # a row for each language and topic
-    if not pairs:
-        return known
-    sums = {"lang": defaultdict(float), "topic": defaultdict(float)}
-    for lang, topic, w in pairs:
-        sums["lang"][lang] += w
-        sums["topic"][topic] += w
-    goals = {d: _goals(s, targets.get(d), temper) for d, s in sums.items()}
-    total = sum(sums["lang"].values())
-    of_source = cells.groupBy("source").agg(F.sum("w").alias("tokens"))
-    raised = _looked_up(targets["source"], F.col("source")) if "source" in targets else F.pow("tokens", F.lit(temper))
-    powers = of_source.agg(F.sum(raised)).first()[0] or 1.0
-    goal = (raised / F.lit(powers) * F.lit(total)).alias("goal")
-    fits = {"lang": dict.fromkeys(sums["lang"], 1.0), "topic": dict.fromkeys(sums["topic"], 1.0)}
-    held = None
-    if cells.count() <= driver_cells:
-        held = [tuple(r) for r in cells.select(*DIMENSIONS, "w").collect()], {r.source: r.goal for r in of_source.select("source", goal).collect()}
-
-    def pair() -> Column:
-        return _looked_up(fits["lang"], F.col("lang")) * _looked_up(fits["topic"], F.col("topic"))
-
-    def source_factors() -> DataFrame:
-        sums = cells.groupBy("source").agg(F.sum("w").alias("tokens"), F.sum(F.col("w") * pair()).alias("now"))
-        return sums.select("source", F.coalesce(F.try_divide(goal, F.col("now")), F.lit(0.0)).alias("source_factor"))
-
-    def weights(sources: DataFrame) -> dict[tuple[str, str], float]:
-        """Of each language and topic, the weight after the sources' factors."""
-        if held is None:
-            return {(r.lang, r.topic): r.w for r in cells.join(sources, "source").groupBy("lang", "topic").agg(F.sum(F.col("w") * pair() * F.col("source_factor")).alias("w")).collect()}
-        now, out = defaultdict(float), defaultdict(float)
-        for source, lang, topic, w in held[0]:
-            now[source] += w * fits["lang"][lang] * fits["topic"][topic]
-        for source, lang, topic, w in held[0]:
-            out[lang, topic] += w * fits["lang"][lang] * fits["topic"][topic] * (held[1][source] / now[source] if now[source] else 0.0)
+    cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("w")).where("w > 0"), "mix-cells")
+    fit = _raked_here if cells.count() <= driver_cells else _raked_there
+    return fit(cells, targets or {}, temper, sweeps)
+
+
+def _raked_here(cells: DataFrame, targets: Targets, temper: float, sweeps: int) -> Raking:
+    """rake() on the driver."""
+    spark = cells.sparkSession
+    held = [((r.source, r.lang, r.topic), r.w) for r in cells.collect()]
+
+    def sums(place: int, fits: list[dict[str, float]]) -> dict[str, float]:
+        out = defaultdict(float)
+        for key, w in held:
+            out[key[place]] += w * fits[0][key[0]] * fits[1][key[1]] * fits[2][key[2]]
         return out
 
-    sources = source_factors()
+    fits = [dict.fromkeys((key[place] for key, _ in held), 1.0) for place in range(3)]
+    goals = [_goals(sums(place, fits), targets.get(d), temper) for place, d in enumerate(DIMENSIONS)]
+    for _ in range(sweeps):
+        for place in range(3):
+            now = sums(place, fits)
+            fits[place] = {k: f * goals[place][k] / now[k] if now[k] else 0.0 for k, f in fits[place].items()}
+    top = max((fits[0][s] * fits[1][lang] * fits[2][t] for (s, lang, t), _ in held), default=0.0)
+    missed = [abs(s / goals[place][k] - 1) for place in range(3) for k, s in sums(place, fits).items() if goals[place][k] > 0]
+    sources, langs = (materialise(spark.createDataFrame(list(fits[place].items()), f"{d} string, {d}_factor double").coalesce(1), f"mix-{d}s") for place, d in enumerate(DIMENSIONS[:2]))
+    return Raking(sources, langs, fits[2], top or 1.0, max(missed, default=0.0))
+
+
+def _raked_there(cells: DataFrame, targets: Targets, temper: float, sweeps: int) -> Raking:
+    """rake() in the cluster."""
+    topics = [r.topic for r in cells.select("topic").distinct().collect()]
+    by_topic = [F.sum(F.when(F.col("topic") == t, F.col("w") * F.col("source_factor")).otherwise(0.0)).alias(t) for t in topics]
+
+    def with_goals(d: str) -> DataFrame:
+        tokens = cells.groupBy(d).agg(F.sum("w").alias("tokens"))
+        raised = _looked_up(targets[d], F.col(d)) if d in targets else F.pow("tokens", F.lit(temper))
+        total, powers = tokens.agg(F.sum("tokens"), F.sum(raised)).first()
+        return materialise(tokens.select(d, (raised / F.lit(powers or 1.0) * F.lit(total or 0.0)).alias("goal")), f"mix-{d}-goals")
+
+    def fitted(now: Column, d: str) -> Column:
+        return F.coalesce(F.try_divide(F.col("goal"), now), F.lit(0.0)).alias(f"{d}_factor")
+
+    goals = {d: with_goals(d) for d in DIMENSIONS[:2]}
+    of_topics = _goals({r.topic: r.w for r in cells.groupBy("topic").agg(F.sum("w").alias("w")).collect()}, targets.get("topic"), temper)
+    fits = dict.fromkeys(topics, 1.0)
+    sources, langs = (goals[d].select(d, F.lit(1.0).alias(f"{d}_factor")) for d in DIMENSIONS[:2])
+    spent: list[DataFrame] = []
     for _ in range(sweeps):
-        sources = source_factors()  # of the factors as they are before this sweep's end
-        now = weights(sources)
-        for place, d in enumerate(("lang", "topic")):
-            have = defaultdict(float)
-            for key, w in now.items():
-                have[key[place]] += w
-            scale = {k: goals[d][k] / s if s else 0.0 for k, s in have.items()}
-            fits[d] = {k: f * scale.get(k, 0.0) for k, f in fits[d].items()}
-            now = {key: w * scale[key[place]] for key, w in now.items()}
-    sources = materialise(sources, "mix-sources")
-    factor = F.col("source_factor") * pair()
-    scaled = materialise(cells.join(sources, "source").select(*DIMENSIONS, "w", factor.alias("factor")), "mix-factors")
-    missed = [F.max(F.abs(F.try_divide(F.col("now"), F.col("goal")) - 1)).alias("residual")]
-    of_sources = scaled.groupBy("source").agg(F.sum("w").alias("tokens"), F.sum(F.col("w") * F.col("factor")).alias("now")).select("now", goal).where("goal > 0").agg(*missed)
-    of_langs = scaled.groupBy("lang").agg(F.sum(F.col("w") * F.col("factor")).alias("now")).select("now", _looked_up(goals["lang"], F.col("lang")).alias("goal")).where("goal > 0").agg(*missed)
-    top = scaled.agg(F.max("factor")).first()[0]
-    residual = of_sources.union(of_langs).agg(F.max("residual")).first()[0]  # topics are met last, so exactly
-    return Raking(sources, langs, fits["lang"], fits["topic"], top or 1.0, residual or 0.0)
+        # a factor is the goal over what all other factors make of the tokens
+        now = cells.join(langs, "lang").groupBy("source").agg(F.sum(F.col("w") * F.col("lang_factor") * _looked_up(fits, F.col("topic"))).alias("now"))
+        sources = materialise(goals["source"].join(now, "source").select("source", fitted(F.col("now"), "source")), "mix-sources")
+        sums = materialise(goals["lang"].join(cells.join(sources, "source").groupBy("lang").agg(*by_topic), "lang"), "mix-sums")
+        langs = sums.select("*", fitted(sum((F.col(t) * F.lit(fits[t]) for t in topics), F.lit(0.0)), "lang"))
+        have = langs.agg(*[F.sum(F.col(t) * F.col("lang_factor")).alias(t) for t in topics]).first()
+        langs = langs.select("lang", "lang_factor")
+        fits = {t: of_topics[t] / have[t] if have[t] else 0.0 for t in topics}
+        discard(*spent)
+        spent = [sources, sums]
+    out = Raking(materialise(sources, "mix-sources"), materialise(langs, "mix-langs"), fits)
+    discard(*spent)
+    scaled = materialise(cells.join(out.sources, "source").join(out.langs, "lang").select(*DIMENSIONS, "w", out.factor().alias("factor")), "mix-factors")
+    out.largest = scaled.agg(F.max("factor")).first()[0] or 1.0
+    for d in DIMENSIONS[:2]:  # topics are met last, so exactly
+        met = scaled.groupBy(d).agg(F.sum(F.col("w") * F.col("factor")).alias("now")).join(goals[d].where("goal > 0"), d)
+        out.residual = max(out.residual, met.agg(F.max(F.abs(F.col("now") / F.col("goal") - 1))).first()[0] or 0.0)
+    return out
 
 
 def mix(docs: DataFrame, targets: Targets | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, factor, probability, sampled of each document."""
     rows = materialise(described(docs), "mix-rows")
     raking = rake(rows, targets, temper, sweeps, driver_cells)
-    rows = rows.withColumn("lang", raking.lang(F.col("lang")))
-    factor = F.when(F.col("n_tokens") > 0, F.coalesce("source_factor", F.lit(0.0)) * raking.pair(F.col("lang"), F.col("topic"))).otherwise(0.0)
-    raked = rows.join(raking.sources, "source", "left").withColumn("factor", factor)
+    factor = F.when(F.col("n_tokens") > 0, raking.factor()).otherwise(0.0)
+    raked = rows.join(raking.sources, "source", "left").join(raking.langs, "lang", "left").withColumn("factor", factor)
     probability = F.col("factor") / F.lit(raking.largest)
     return raked.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round(probability, 6).alias("probability"), (draw(F.col("doc_id")) < probability).alias("sampled"))
 
@@ -178,11 +176,9 @@ def sample_documents(docs: DataFrame, targets: Targets | None = None, temper: fl
     raking = rake(described(docs), targets, temper, sweeps)
     text = F.coalesce("text", F.lit(""))
     tokens = F.regexp_count(text, F.lit(_WORDS))
-    lang = raking.lang(F.coalesce("lang", F.lit("other")))
-    kept = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("source"), draw(F.col("doc_id")).alias("draw"), lang.alias("lang"), topic_of(text, tokens).alias("topic"), (tokens > 0).alias("words"))
-    joined = kept.join(raking.sources, "source")
-    share = F.col("source_factor") * raking.pair(F.col("lang"), F.col("topic")) / F.lit(raking.largest)
-    return joined.where(F.col("words") & (F.col("draw") < share)).select("row.*")
+    kept = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("source"), draw(F.col("doc_id")).alias("draw"), F.coalesce("lang", F.lit("other")).alias("lang"), topic_of(text, tokens).alias("topic"), (tokens > 0).alias("words"))
+    joined = kept.join(raking.sources, "source").join(raking.langs, "lang")
+    return joined.where(F.col("words") & (F.col("draw") < raking.factor() / F.lit(raking.largest))).select("row.*")
 
 
 def op9_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +189,9 @@ def oracle(targets: Targets | None = None, temper: float = TEMPER, sweeps: int =
     """DuckDB SQL for mix()."""
     targets = targets or {}
     parts = [
-        f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, 'other') AS raw, coalesce(text, '') AS text,
+        f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, 'other') AS lang, coalesce(text, '') AS text,
             len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS n_tokens FROM documents)""",
-        f"k AS (SELECT raw FROM d WHERE raw <> 'other' GROUP BY 1 HAVING sum(n_tokens) > 0 ORDER BY sum(n_tokens) DESC, raw LIMIT {MOST_LANGS})",
-        """r AS (SELECT doc_id, source, CASE WHEN raw IN (SELECT raw FROM k) THEN raw ELSE 'other' END AS lang, n_tokens, CASE WHEN n_tokens = 0 THEN 'empty' WHEN contains(text, ' | ') THEN 'tabular'
+        """r AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens = 0 THEN 'empty' WHEN contains(text, ' | ') THEN 'tabular'
             WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'medium' ELSE 'long' END AS topic FROM d)""",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w FROM r GROUP BY ALL HAVING sum(n_tokens) > 0)",
         "total AS (SELECT sum(w) AS t FROM c)",

@@ -263,6 +263,28 @@ def test_mixing_to_given_targets(spark, tables):
     assert rake(described(docs), targets | {"lang": {"en": 0.5, "fr": 0.3, "xx": 0.2}}).residual < 0.001
 
 
+def test_mixing_tells_every_language_apart(spark, tmp_path):
+    """Forty languages, the rarest with a target of its own, on the driver and in the cluster; the oracle agrees."""
+    import duckdb
+
+    from statuta.llm.mixing import mix, oracle, sample_documents
+
+    rows = [(k, "w " * (30 + k % 40 + 110 * (k // 40 % 3)), f"l{k % 40}", ("s0", "s1", "s2", None)[k // 40 % 7 % 4]) for k in range(800)]
+    docs = spark.createDataFrame([*rows, (900, "no language here", None, "s0"), (901, "", "l99", "s9")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    targets = {"lang": {f"l{k}": 1 + k for k in range(40)}}
+    for given, most in ((None, 10_000), (targets, 10_000), (targets, 0)):
+        got = mix(docs, given, driver_cells=most).collect()
+        assert Counter((r.doc_id, r.source, r.lang, r.topic, r.n_tokens, r.factor, r.probability, r.sampled) for r in got) == Counter(con.sql(oracle(given)).fetchall())
+        assert {r.lang for r in got} == {f"l{k}" for k in range(40)} | {"other", "l99"}
+    assert {r.doc_id for r in sample_documents(docs, targets).collect()} == {r.doc_id for r in got if r.sampled}
+    total = sum(r.n_tokens for r in got)
+    for k in range(40):
+        assert abs(sum(r.n_tokens * r.factor for r in got if r.lang == f"l{k}") / total / ((1 + k) / 820) - 1) < 0.01
+
+
 def test_mixing(spark, tables):
     got = run(spark, tables, 9)
     assert len(got) == len(make_documents())
