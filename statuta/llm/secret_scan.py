@@ -2,7 +2,8 @@
 
 Labelled values of each format become a prefix tree: a child for each class of
 characters (letters and digits of a random string are one class, in words vowels,
-other letters and digits are three; every mark is its own), and at each state the
+other letters and digits are three; every mark is its own, and so is everything in
+runs of one character, however long they are), and at each state the
 counts of the characters that follow and of ends.  States are merged in red-blue
 order, a blue one into the most likely compatible red one: compatible are states
 whose next-character and end counts pass a two-sample chi-square test, as do those
@@ -11,10 +12,12 @@ format.  Fixed prefixes, separators and lengths come out as chains of states (an
 end is as improbable before the last of them as a wrong character), parts of any
 length as loops.
 
-Every candidate of a text (a run of 8 to MOST_CHARS characters of tokens, from its
-first letter or digit to its last) is scored by all automata.  It is reported when
-a credential format is likelier than all plain formats (words, numbers, names of
-files, dates) by ODDS bits.
+Every candidate of a text (a run of 8 or more characters of tokens, however long,
+from its first letter or digit to its last) is scored by all automata.  It is
+reported when a credential format is likelier than all plain formats (words,
+numbers, names of files, dates) by ODDS bits.  Candidates advance together for
+their first STEPS characters; what is left of longer ones is walked one by one,
+with the same result.
 
 Fixed patterns (assign, access, hex) are found as well and always stay; the
 automata only add spans that overlap none of these.  Offsets are code points,
@@ -48,7 +51,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ia)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-LEAST_CHARS, MOST_CHARS = 8, 1024
+LEAST_CHARS, STEPS = 8, 1024
 #: Bits by which a credential format must beat the plain ones.
 ODDS = 16.0
 #: States with fewer observations are not tested; what a state has for classes never seen there, in bits; counts that
@@ -101,9 +104,9 @@ def _differ(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> bool:
     return chi > free + 5 * math.sqrt(2 * max(free, 1)) + 4
 
 
-def infer(values: list[str], spoken: bool = False) -> Automaton:
-    """Merge the compatible states of the prefix tree of values."""
-    kind = classes(spoken)
+def infer(values: list[str], spoken: bool = False, kind: np.ndarray | None = None) -> Automaton:
+    """Merge the compatible states of the prefix tree of values; kind: the class of each byte."""
+    kind = classes(spoken) if kind is None else kind
     rows = [v.encode() for v in values]
     used = np.append(np.unique(np.frombuffer(b"".join(rows), np.uint8)), _END)
     place = np.zeros(257, np.int64)
@@ -226,16 +229,16 @@ def example_values(per_format: int = 300, seed: int = 3) -> dict[str, tuple[bool
         "plain_number": lambda: pick(digits, rng.randint(1, 24)),
         "plain_grouped": lambda: rng.choice("-./").join(pick(digits, rng.randint(1, 5)) for _ in range(rng.randint(2, 6))),
         "plain_numbered": lambda: rng.choice([word(1, 3), word(1, 2).capitalize(), word(1, 1).upper()]) + rng.choice(["", "-", "_", "."]) + pick(digits, rng.randint(1, 6)),
-        "plain_run": lambda: rng.choice(alnum) * rng.randint(8, 40),
     }
     made = {k: (False, [f() for _ in range(per_format)]) for k, f in secrets.items()}
-    return made | {k: (True, [f() for _ in range(per_format * 2)]) for k, f in plain.items()}
+    made |= {k: (True, [f() for _ in range(per_format * 2)]) for k, f in plain.items()}
+    return made | {"plain_run": (True, [c * rng.randint(8, 40) for c in alnum for _ in range(2 * LEAST)])}  # so many that a state for each is tested
 
 
 @functools.lru_cache(maxsize=1)
 def infer_all() -> dict[str, Automaton]:
     """The automata of example_values(), inferred once in a process."""
-    return {name: infer(values, spoken) for name, (spoken, values) in example_values().items()}
+    return {name: infer(values, spoken, _SAME if name == "plain_run" else None) for name, (spoken, values) in example_values().items()}
 
 
 class Formats:
@@ -250,21 +253,42 @@ class Formats:
         self.to = np.concatenate([(a.to + f).ravel() for a, f in zip(automata.values(), first, strict=False)]).astype(np.int32)
         self.end = np.concatenate([a.end for a in automata.values()])
 
+    @functools.cached_property
+    def lists(self) -> tuple[list[list[float]], list[list[int]], list[bool]]:
+        """Of each state, as lists: emit, to, and whether it is never left and emits all alike."""
+        emit, to = self.emit.reshape(-1, 256), self.to.reshape(-1, 256)
+        stuck = (to == np.arange(len(to))[:, None]).all(1) & (emit == emit[:, :1]).all(1)
+        return emit.tolist(), to.tolist(), stuck.tolist()
+
+    def walk(self, state: int, bits: float, text: bytes) -> tuple[int, float]:
+        """State and bits after text."""
+        emit, to, stuck = self.lists
+        for k, c in enumerate(text):
+            if stuck[state]:
+                return state, bits + emit[state][0] * (len(text) - k)
+            bits += emit[state][c]
+            state = to[state][c]
+        return state, bits
+
     def leads(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the likeliest credential format, its lead over plain ones in bits) of each candidate."""
         sizes = end - start
         order = np.argsort(-sizes)
         start, sizes = start[order], sizes[order]
         state = np.repeat(self.first[:, None], len(start), axis=1)
-        bits = np.zeros(state.shape, np.float32)
-        for t in range(int(sizes[0]) if len(sizes) else 0):
+        bits = np.zeros(state.shape)
+        for t in range(min(int(sizes[0]), STEPS) if len(sizes) else 0):
             going = int(np.searchsorted(-sizes, -t))  # the longest come first
             at = state[:, :going] * 256 + data[start[:going] + t]
             bits[:, :going] += self.emit[at]
             state[:, :going] = self.to[at]
+        for j in range(int(np.searchsorted(-sizes, -STEPS))):
+            rest = data[start[j] + STEPS : start[j] + sizes[j]].tobytes()
+            for i in range(len(self.names)):
+                state[i, j], bits[i, j] = self.walk(int(state[i, j]), float(bits[i, j]), rest)
         bits += self.end[state]
         secret = np.where(self.plain[:, None], -np.inf, bits)
-        best, lead = np.zeros(len(order), np.int64), np.zeros(len(order), np.float32)
+        best, lead = np.zeros(len(order), np.int64), np.zeros(len(order))
         best[order], lead[order] = secret.argmax(0), secret.max(0) - bits[self.plain].max(0)
         return best, lead
 
@@ -285,7 +309,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     a, b = np.searchsorted(core, start), np.searchsorted(core, end) - 1
     has = a <= b
     start, end = core[a[has]], core[b[has]] + 1
-    fits = (end - start >= LEAST_CHARS) & (end - start <= MOST_CHARS)
+    fits = end - start >= LEAST_CHARS
     start, end = start[fits], end[fits]
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 

@@ -324,6 +324,32 @@ def test_secrets(spark, tables):
         assert scan(text, automata) == ([], [])
 
 
+def test_secrets_of_any_length():
+    """Long values are scored as the automata score them, in any company; long plain ones stay plain."""
+    import string
+
+    import numpy as np
+
+    from statuta.llm.secret_scan import Formats, found_in_slice, infer_all, scan
+
+    automata = infer_all()
+    rng = random.Random(6)
+    piece = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    values = [f"eyJ{piece(30)}.eyJ{piece(n)}.{piece(43)}" for n in (60, 940, 950, 1500, 4000, 4000)]
+    assert {len(v) > 1024 for v in values} == {True, False}
+    for v in values:
+        assert scan(f"é bearer {v}, end", automata) == ([], [(9, "web_token", 9 + len(v))])
+    for plain in ("x" * 3000, "Q" * 1025, "7" * 5000, "ACGT" * 600, "/usr/share/documents" * 200, "well-known-" * 300 + "words"):
+        assert scan(f"see {plain} now", automata)[1] == []
+    texts = [f"see {v} now" for v in (*values, "x" * 3000, piece(2000).lower())]
+    raw = [t.encode() for t in texts]
+    spans, leads = found_in_slice(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), Formats(automata))
+    for k, t in enumerate(texts):
+        best = {p: max(a.bits(t[4:-4]) for n, a in automata.items() if n.startswith("plain") == p) for p in (True, False)}
+        assert abs(leads[k] - max(best[False] - best[True], 0)) < 1e-6
+        assert spans.get(k, []) == scan(t, automata)[1]
+
+
 def test_automata_have_learned_the_formats():
     """Chains for fixed parts, loops for parts of any length, ends where values end; better than symbol frequencies."""
     from statuta.llm.secret_scan import example_values, infer, infer_all
