@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm.store import materialise, row_key, table
+from statuta.llm.store import arrow_rows, materialise, row_key, table
 from statuta.llm.textkit import LOWER, SPACE, U, hash_word, mix, text_slices, word_bounds, word_hashes
 
 WINDOW = 8
@@ -49,6 +49,8 @@ COVERAGE = 0.3
 #: Tokens of a window that must not be slots.
 LITERALS = 4
 FILTER_WINDOWS = 2_000_000
+#: Texts that are sent to a worker at once.
+BATCH_ROWS = 500
 UNITS = tuple("mm cm m km kg g mg lb lbs oz ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years ft foot feet inch inches mile miles mph kmh kph percent dollar dollars euro euros cent cents usd eur gbp degrees celsius fahrenheit watts volts mb gb tb".split())
 _NUM, _UNIT, _NAME = (hash_word(x) for x in (b"<NUM>", b"<UNIT>", b"<NAME>"))
 _UNIT_HASHES = np.sort(np.array([hash_word(u.encode()) for u in UNITS], dtype=U))
@@ -244,8 +246,10 @@ def _of_views(made: Callable[[int], Column], name: str) -> list[Column]:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item."""
-    hits = found_in_rows(docs, items, "doc_id", "text", "item_id", "text", COVERAGE, FILTER_WINDOWS).select(F.col("key").alias("hit")).distinct()
+    """docs without the rows whose text holds a benchmark item; the keys of those are written first, so few of them cost no shuffle of texts."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        hits = found_in_rows(docs, items, "doc_id", "text", "item_id", "text", COVERAGE, FILTER_WINDOWS).select(F.col("key").alias("hit")).distinct()
+        hits = materialise(hits, "bench-hits")
     rows = docs.select(F.struct("*").alias("row"), row_key(docs).alias("key"))  # no name of docs can clash
     return rows.join(hits, F.col("key") == F.col("hit"), "left_anti").select("row.*")
 

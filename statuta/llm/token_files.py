@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from statuta.llm import simple8b
 from statuta.llm.shards import read_file, write_file
-from statuta.llm.store import materialise, scratch, table
+from statuta.llm.store import arrow_rows, materialise, scratch, table
+from statuta.llm.textkit import trim
 
 MAGIC = b"S8BIDS01"
 SEGMENT_IDS = 1 << 19
+#: Texts that are sent to a worker at once.
+BATCH_ROWS = 500
 END_ID = 1
 _HEAD = struct.Struct("<8s6q")
 
@@ -55,7 +58,7 @@ class WordEncoder:
     bounded; when full it is emptied, which changes no result.
     """
 
-    def __init__(self, tokenizer_file: str, max_words: int = 500_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 250_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -183,8 +186,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, id_col:
                 held += len(ids) + 1
                 if held >= segment_ids:
                     yield flush()
+            trim()
         if doc_ids:
             yield flush()
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
@@ -214,6 +219,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     "n_tokens": pa.array(counts, pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(raw[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.int64()),
                 })
+        trim()
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, or the small rows would be put together in one task
     return files.select("path", (F.col("base") + F.col("before")).alias("start")).repartition(tasks, "path").mapInArrow(task, READ)
@@ -229,7 +235,9 @@ def token_output(docs: DataFrame, tokenizer_file: str | None = None, id_col: str
     """Write docs as token files in the shared folder and read them back."""
     spark = docs.sparkSession
     manifest = write_token_files(docs, scratch(spark, "token-files"), tokenizer_file or default_tokenizer(), id_col, text_col)
-    return read_token_files(materialise(manifest, "token-manifest"))
+    with arrow_rows(spark, BATCH_ROWS):
+        manifest = materialise(manifest, "token-manifest")
+    return read_token_files(manifest)
 
 
 def op6_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,6 +403,17 @@ def test_stages_keep_the_right_rows_of_odd_tables(spark):
     assert set(sample_documents(docs).columns) == set(docs.columns)
 
 
+def test_decontamination_leaves_texts_where_they_are(spark, tables):
+    """The keys of contaminated rows are known before the rows are read again, so few of them need no shuffle of texts."""
+    from statuta.llm.decontaminate import drop_contaminated
+
+    docs, items = (spark.read.parquet(f"{tables['full']}/{name}.parquet") for name in ("documents", "benchmark"))
+    clean = drop_contaminated(docs, items)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "MapInArrow" not in plan
+    assert 0 < clean.count() < docs.count()
+
+
 def test_boilerplate_costs_in_proportion(spark, monkeypatch):
     """Texts that share most of their words without being near are not compared with one another."""
     from statuta.llm import ngram_join
