@@ -131,6 +131,26 @@ def word_windows(docs: DataFrame, size: int = 256, overlap: int = 16) -> DataFra
     return rows.select("doc_id", "pos", "c.text", "c.start_word", "c.end_word")
 
 
+#: Documents of which a task holds the sentences at once.
+SEMANTIC_DOCS = 64
+
+
+def sentence_groups(vectors: np.ndarray, sizes: list[int], threshold: float = 0.74, least_words: int = 60, most_words: int = 600) -> list[list[int]]:
+    """Numbers of consecutive sentences while they are near the group's mean vector, or it is short."""
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = vectors / np.where(norms == 0, 1.0, norms)
+    groups, mean, size = [[0]], vectors[0], sizes[0]
+    for k in range(1, len(sizes)):
+        near = float(mean @ vectors[k]) >= threshold and size + sizes[k] <= most_words
+        if near or size < least_words:
+            groups[-1].append(k)
+            mean, size = mean + (vectors[k] - mean) / len(groups[-1]), size + sizes[k]
+        else:
+            groups.append([k])
+            mean, size = vectors[k], sizes[k]
+    return groups
+
+
 def semantic_chunks(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], threshold: float = 0.74, least_words: int = 60, most_words: int = 600) -> DataFrame:
     """Consecutive sentences while they are near the chunk's mean vector, or it is short.
 
@@ -139,25 +159,15 @@ def semantic_chunks(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], t
     """
 
     def fold(sentences: list[str]) -> list[str]:
-        vectors = np.asarray(embed(sentences), float)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        vectors = vectors / np.where(norms == 0, 1.0, norms)
-        sizes = [len(s.split()) for s in sentences]
-        groups, mean, size = [[0]], vectors[0], sizes[0]
-        for k in range(1, len(sentences)):
-            near = float(mean @ vectors[k]) >= threshold and size + sizes[k] <= most_words
-            if near or size < least_words:
-                groups[-1].append(k)
-                mean, size = mean + (vectors[k] - mean) / len(groups[-1]), size + sizes[k]
-            else:
-                groups.append([k])
-                mean, size = vectors[k], sizes[k]
+        groups = sentence_groups(np.asarray(embed(sentences), float), [len(s.split()) for s in sentences], threshold, least_words, most_words)
         return [" ".join(sentences[k] for k in g) for g in groups]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fold(s) if s else [] for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "chunks"])
+            for at in range(0, batch.num_rows, SEMANTIC_DOCS):
+                part = batch.slice(at, SEMANTIC_DOCS)
+                made = [fold(s) if s else [] for s in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "chunks"])
 
     folded = docs.select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("s")).mapInArrow(task, "doc_id long, chunks array<string>")
     return exploded(folded, F.col("chunks"))
