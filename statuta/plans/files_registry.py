@@ -160,10 +160,10 @@ def graph_files(spark, d):
 def document_graph_files(spark, d):
     """The eventic edges of each document in a folder of its own."""
     rows = R._event_rows(spark, d)
-    links = rows.select("doc_id", F.col("agent").alias("src"), F.concat(F.lit("DEONTIC::"), "deontic").alias("dst")).distinct()
+    links = written(rows.select("doc_id", F.col("agent").alias("src"), F.concat(F.lit("DEONTIC::"), "deontic").alias("dst")).distinct(), "document-links")
     path = scratch(spark, "document-graphs")
     sinks.write_graph(links.select("doc_id", F.col("src").alias("id")).distinct(), links, path, partition_by="doc_id")
-    return sinks.read_graph(spark, path)[1].select(F.col("doc_id").cast("long").alias("doc_id"), "src", "dst")
+    return sinks.read_folders(spark, f"{path}/edges", links.drop("doc_id").schema, "doc_id").select("doc_id", "src", "dst")
 
 
 @query("""WITH u AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * 3 / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y * 9)))) AS v FROM embeddings)

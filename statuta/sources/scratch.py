@@ -43,13 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
 def stored_rows(path: str, most: int, columns: list[str] | None = None) -> Iterator[pa.Table]:
     """The rows of a table of stored(), read by a task, in the order of its files, most at a time."""
-    fs, root = _filesystem(path)
+    fs, root = filesystem(path)
     held, n = [], 0
     for file in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")):
         with fs.open_input_file(file) as f:
@@ -67,7 +67,7 @@ def write_files(files: DataFrame, folder: str) -> int:
     """Write rows (name, content) as files of a folder, from the executors; a task that runs again writes the same. Returns their number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _filesystem(folder)
+        fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
