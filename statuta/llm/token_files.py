@@ -23,6 +23,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from statuta.llm import simple8b
 from statuta.llm.shards import read_file, write_file
 from statuta.llm.store import arrow_rows, materialise, scratch, table
-from statuta.llm.textkit import trim
+from statuta.llm.textkit import kept, trim
 
 MAGIC = b"S8BIDS01"
 SEGMENT_IDS = 1 << 19
@@ -42,45 +43,55 @@ BATCH_ROWS = 500
 END_ID = 1
 _HEAD = struct.Struct("<8s6q")
 
-#: Letters that no normaliser step changes once lower-cased one by one.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that no normaliser step changes once lower-cased one by one; signs that no step changes and no rule joins to letters.
+_LETTERS, _SIGNS = r"A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_ODD = re.compile(rf"[^ \n0-9{_LETTERS}{_SIGNS}]")
+_PIECES = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
 _WHITE = str.maketrans("\t\r\n", "   ")
+_ID = attrgetter("id")
 
 
 class WordEncoder:
-    """Ids of whole texts, from the ids of their distinct words.
-
-    The tokenizer's pattern never joins characters across white space, so a text
-    encodes as its words one after another, and each distinct word need be
-    encoded only once.  A word of letters, perhaps with one final stop or comma,
-    goes to the tokenizer's model directly: normalising leaves it lower-cased.
-    Any other word takes the tokenizer's whole path.  The memory of words is
-    bounded; when full it is emptied, which changes no result.
+    """Ids of whole texts, from the ids of their distinct pieces.
+
+    The tokenizer's pattern cuts Latin letters, digits and ASCII signs but the
+    apostrophe into runs of letters, single digits and runs of signs, so a text
+    of these encodes as its pieces one after another, and each distinct piece
+    need be encoded only once.  Letters go to the tokenizer's model directly:
+    normalising leaves them lower-cased.  The pattern never joins characters
+    across white space, so any other text encodes as its words one after
+    another, and words with other characters take the tokenizer's whole path,
+    as do texts that hold one of its special tokens.  The memories of pieces and
+    of words are bounded; when full, those not met of late go, which changes no
+    result.
     """
 
-    def __init__(self, tokenizer_file: str, max_words: int = 250_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 340_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(tokenizer_file)
         self.model = self.whole.model
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {chr(i): "".join(p for p, _ in level.pre_tokenize_str(chr(i))) for i in range(0x61, 0x100)}
-        self.stops = {s: self._by_library(s) for s in (".", ",")} | {"": b""}
-        self.known = _Known(self._word, max_words)
-        self.letter_runs = _Known(self._letters, max_words // 2)
+        self.letters = {i: "".join(p for p, _ in level.pre_tokenize_str(chr(i))) for i in range(0x61, 0x100)}
+        self.pieces = _Known(self._piece, max_words)
+        self.words = _Known(self._word, max_words // 2)
 
     def _by_library(self, piece: str) -> bytes:
         return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, low: str) -> bytes:
-        shown = low if low.isascii() else "".join(map(self.letters.__getitem__, low))
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def _piece(self, low: str) -> bytes:
+        if not low[0].isalpha():
+            return self._by_library(low)
+        shown = low if low.isascii() else low.translate(self.letters)
+        return array("I", list(map(_ID, self.model.tokenize(shown)))).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def _word(self, word: str) -> bytes:
-        if m := _PLAIN.fullmatch(word):
-            return self.letter_runs[m[1].lower()] + self.stops[m[2]]
-        return self._by_library(word) if word else b""
+        return self._by_library(word) if _ODD.search(word) else self._plain(word)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text, as 32-bit integers."""
@@ -88,34 +99,39 @@ class WordEncoder:
             return np.zeros(0, np.uint32)
         if "\t" in text or "\r" in text:
             text = text.translate(_WHITE)
-        words = text.replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
+        if any(map(text.__contains__, self.special)):
+            ids = self._by_library(text)
+        elif _ODD.search(text):
+            ids = b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        else:
+            ids = self._plain(text)
+        return np.frombuffer(ids, np.uint32)
 
 
 class _Known(dict):
-    """Results of a function by its argument, at most so many."""
+    """Results of a function by its argument, at most so many: up to half of them new, the others from before these."""
 
     def __init__(self, function, most: int):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.half, self.before = function, max(1, most // 2), {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.function(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.function(key)
         if len(key) <= 64:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.before = self.copy()
                 self.clear()
             self[key] = value
         return value
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(tokenizer_file: str) -> WordEncoder:
-    """The encoder of this Python worker."""
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+    """The encoder of this Python worker, kept until a task of an operator with text kernels begins."""
+    if tokenizer_file not in kept:
+        kept[tokenizer_file] = WordEncoder(tokenizer_file)
+    return kept[tokenizer_file]
 
 
 def pack_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
