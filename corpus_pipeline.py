@@ -1,7 +1,8 @@
 """A corpus pipeline from five operators of statuta.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-and read again as the next stage's docs.  All but the last return the columns of
+and read again as the next stage's docs.  Executors give back the heap that the
+stage before has left free.  All but the last return the columns of
 documents, with the rows that they keep; the last returns one row per document
 of the token files.
 """
@@ -14,32 +15,37 @@ from statuta.llm.decontaminate import drop_contaminated
 from statuta.llm.language_id import keep_known_language
 from statuta.llm.mixing import sample_documents
 from statuta.llm.ngram_join import keep_one_of_each
-from statuta.llm.store import materialise, table
+from statuta.llm.store import materialise, shrink, table
 from statuta.llm.token_files import token_output
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the byte network recognises."""
+    shrink(spark)
     return keep_known_language(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    shrink(spark)
     return keep_one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    shrink(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target weights."""
+    shrink(spark)
     return sample_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the token files, in the order of their ids."""
+    shrink(spark)
     return token_output(docs)
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm.store import arrow_rows, materialise, row_key, table
+from statuta.llm.store import arrow_rows, materialise, row_key, table, without
 from statuta.llm.textkit import LOWER, SPACE, U, hash_word, mix, text_slices, word_bounds, word_hashes
 
 WINDOW = 8
@@ -250,8 +250,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         hits = found_in_rows(docs, items, "doc_id", "text", "item_id", "text", COVERAGE, FILTER_WINDOWS).select(F.col("key").alias("hit")).distinct()
         hits = materialise(hits, "bench-hits")
-    rows = docs.select(F.struct("*").alias("row"), row_key(docs).alias("key"))  # no name of docs can clash
-    return rows.join(hits, F.col("key") == F.col("hit"), "left_anti").select("row.*")
+    return without(docs, hits)
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm.store import table
+from statuta.llm.store import arrow_rows, materialise, row_key, table, without
 from statuta.llm.textkit import LOWER, text_slices
 
 #: Labelled rows of one language that the fit uses, about; windows of each.
@@ -46,6 +46,8 @@ STEPS = 400
 _LETTER = re.compile(r"[^\W\d_]")
 #: Windows scored at once: bounds the memory of the responses.
 _ROWS_AT_ONCE = 1024
+#: Texts that are sent to a worker at once by the stage that keeps whole rows.
+BATCH_ROWS = 500
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -252,16 +254,21 @@ def op5_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """The rows of docs whose language is recognised; all columns stay.  Each text is sent once."""
+    """The rows of docs whose language is recognised; all columns stay.  Each text is sent once, and only keys come back:
+    those of the other rows are written first, so few of them cost no shuffle of texts."""
     net = fit(docs.where(fold("doc_id", 4) != 2))
-    place = docs.columns.index("text")
+    if net is None:
+        return docs.where(F.lit(False))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = told(net, batch.column(place))
-            yield batch.filter(pa.array([lang != "und" and s >= least_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, scores = told(net, batch.column(1))
+            dropped = [lang == "und" or s < least_score for lang, s in zip(langs, scores, strict=True)]
+            yield batch.select(["unknown"]).filter(pa.array(dropped, pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        unknown = materialise(docs.select(row_key(docs).alias("unknown"), "text").mapInArrow(task, "unknown long").distinct(), "unknown-language")
+    return without(docs, unknown)
 
 
 QUERIES = {"op5_byte_convnet": op5_byte_convnet}

@@ -86,10 +86,23 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return F.xxhash64(docs[id_col], docs[id_col].isNull(), docs[text_col], F.length(docs[text_col]))
 
 
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key is in keys, a table of one column."""
+    rows = docs.select(F.struct("*").alias("row"), row_key(docs).alias("key"))  # no name of docs can clash
+    return rows.join(keys, F.col("key") == F.col(keys.columns[0]), "left_anti").select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shrink(spark: SparkSession) -> None:
+    """Have executors collect their garbage and give free heap back to the system; their Python workers need the room."""
+    cores = spark.sparkContext.defaultParallelism
+    collected = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, cores, 1, cores).select(collected.alias("done")).agg(F.count("done")).collect()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more."""
     gc.collect()

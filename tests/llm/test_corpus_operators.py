@@ -611,3 +611,37 @@ def test_settings_come_back(spark):
         1 / 0  # noqa: B018
     assert [spark.conf.get(n, None) for n in names] == was
     store.discard(rows)
+
+
+def test_language_stage_leaves_texts_where_they_are(spark, tables):
+    """Keys of rows without a known language are written first; what comes back from workers is never a text."""
+    from statuta.llm.language_id import fit, fold, keep_known_language, predict
+
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
+    kept = keep_known_language(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "MapInArrow" not in plan
+    told = predict(docs, fit(docs.where(fold("doc_id", 4) != 2)), "text", [docs.doc_id, docs.text])
+    want = Counter((r.doc_id, r.text) for r in told.collect() if r.lang_pred != "und" and r.score >= 0.4)
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def test_workers_keep_no_encoder_for_other_operators():
+    import pyarrow as pa
+
+    from statuta.llm import textkit
+    from statuta.llm.token_files import default_tokenizer, encoder
+
+    assert encoder(default_tokenizer()) is encoder(default_tokenizer())
+    list(textkit.text_slices(pa.array(["a text"])))
+    assert not textkit.kept
+
+
+def test_executors_give_heap_back(spark):
+    from statuta.llm.store import shrink
+
+    runtime = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    count = lambda: sum(b.getCollectionCount() for b in runtime.getGarbageCollectorMXBeans())
+    before = count()
+    shrink(spark)
+    assert count() >= before + spark.sparkContext.defaultParallelism
